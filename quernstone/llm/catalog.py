@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quernstone.llm import encoding, repeats
+from quernstone.llm import encoding, nearsets, repeats
 
 QUERIES = {
     "p2_found": repeats.found,
     "p2_clean": repeats.clean,
+    "p5_found": nearsets.found,
+    "p5_groups": nearsets.groups,
     "p8_ids": encoding.ids,
 }
 ORACLES = {

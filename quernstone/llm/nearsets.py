@@ -5,16 +5,21 @@ similarity t or more differ in at most ``H = (1-t)/(1+t) * (n+s)`` tokens. Token
 ``m`` segments; the band of the smaller set's size fixes ``m``, and each band gets the kind of
 signature that costs least for its number of sets and the mean frequency of a token:
 
-* ``exact``: at most H segments differ, so the cheapest segment that is equal in both (by the rarest
-  token's frequency, then by hash: a total order both sets share) is among the H+1 cheapest
-  non-empty segments of either. Each set emits only those subsets, one signature each.
+* ``exact``: at most H segments differ, so the cheapest segment that is equal in both (by the product
+  of its tokens' frequencies, empty ones last, then by hash: a total order both sets share) is
+  among the H+1 cheapest of either. Each set emits only those subsets, one signature each.
 * ``deletion``: with ``m = (H+1)/2 + z`` segments some segment differs by at most one token, even
   leaving out up to z segments with fewer than two tokens. Each set emits its segments and their
   one-deletion neighbourhoods; exact meets exact or deleted.
 * ``token``: for small sets segments as fine as tokens, of which ``n - ceil(t*n) + 1`` suffice.
 
-The rare set for which the guarantee fails (too few usable segments) is looked up token by token
-against all sets instead, so no pair is lost. Candidates are verified on the whole sets.
+The rare set for which ``deletion`` guarantees nothing (too few usable segments) is looked up token
+by token against all sets instead, so no pair is lost.
+
+Every signature carries its set's parity bitmap, whose Hamming distance never exceeds the number of
+differing tokens; sets that meet are compared by it where they meet, in blocks, so that chance
+meetings cost no shuffle. Keys with more than ``HOT_KEY`` sets are split into pairs of blocks that
+spread over tasks. What is left is verified on the whole sets.
 
 Sets that are equal are one class and searched once; members are expanded at the very end.
 Defined results: null, empty and blank texts and texts with fewer words than a shingle are in no
@@ -43,6 +48,8 @@ THRESHOLD = 0.7
 SKETCH_BITS = 20  # buckets of the token-frequency sketch, 4 MB
 SMALL = 64  # sets up to this size use their tokens as segments
 COPIES_BLOCK = 1000  # members of a class that are paired in one task
+HOT_KEY = 8192  # sets under one key that are paired in one task
+BITS_PER_TOKEN = 1.6  # of the parity bitmaps, by a band's top size
 
 _word = re.compile(r"[^\W_]+")
 
@@ -110,7 +117,7 @@ def allocate(threshold: float, tops: np.ndarray, counts: dict[int, int], share:
         h = allowed(threshold, top + top / threshold)
         near = max(1, counts.get(k, 0) + counts.get(k + 1, 0))
         options = []
-        for s in (2.5, 3.5):
+        for s in (1.5, 2.5):
             m = math.ceil(s * (h + 1))
             per = n / (m * (1 - math.exp(-n / m)))
             options.append((h * (1 + near * share**per), Plan("exact", m)))
@@ -123,20 +130,28 @@ def allocate(threshold: float, tops: np.ndarray, counts: dict[int, int], share:
 
 
 def cost_of(sketch: np.ndarray, toks: np.ndarray) -> np.ndarray:
+    """Logarithm of the share of sets that have a token of the same bucket."""
     return sketch[(toks >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
 
 
-def signatures(toks: np.ndarray, threshold: float, tops: np.ndarray, plans: dict[int, Plan], sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(key, flag) of one set's signatures: flag 1 if it is in its own band, 2 if a token was deleted. Last: whether the guarantee failed."""
+def bitmap(toks: np.ndarray, top: int) -> bytes:
+    """Parities of the tokens over so many buckets as suit a band."""
+    bits = 64 * math.ceil(BITS_PER_TOKEN * top / 64)
+    return np.packbits(np.bincount((mix(toks ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def signatures(toks: np.ndarray, threshold: float, tops: np.ndarray, plans: dict[int, Plan], sketch: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[bytes], bool]:
+    """Keys, flags and bitmap of one set's signatures by band: flag 1 if it is the set's own band, 2 if a token was deleted. Last: whether the guarantee failed."""
     n = len(toks)
     own = int(np.searchsorted(tops, n))
-    keys, flags, failed = [], [], False
+    keys, flags, maps, failed = [], [], [], False
     least = math.ceil(threshold * n - 1e-9)
     cost = cost_of(sketch, toks)
     for k in range(int(np.searchsorted(tops, least)), own + 1):
         plan, top = plans[k], int(tops[k])
         h = allowed(threshold, n + (n / threshold if k == own else top))
         mine = 1 if k == own else 0
+        maps.append(bitmap(toks, top))
         seed = np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         if plan.kind == "token":
             order = np.lexsort((toks, cost))[: n - least + 1]
@@ -150,26 +165,20 @@ def signatures(toks: np.ndarray, threshold: float, tops: np.ndarray, plans: dict
         total = np.add.reduceat(mixed, first)
         where = mix(ids.astype(np.uint64) + seed)
         if plan.kind == "exact":
-            if len(ids) < h + 1:
-                failed = True
-                continue
             content = mix(total ^ where)
-            best = np.lexsort((content, np.minimum.reduceat(cost[order], first)))[: h + 1]
+            best = np.lexsort((content, np.add.reduceat(cost[order], first)))[: h + 1]
             keys.append(content[best])
-            flags.append(np.full(h + 1, mine, np.int8))
+            if (lack := h + 1 - len(best)) > 0:
+                empty = mix(np.setdiff1d(np.arange(plan.m), ids).astype(np.uint64) + seed)
+                keys[-1] = np.append(keys[-1], mix(np.sort(empty)[:lack]))
+            flags.append(np.full(len(keys[-1]), mine, np.int8))
         else:
-            if plan.m - int((size >= 2).sum()) > plan.z:
-                failed = True
-                continue
-            keys.append(mix(total ^ where))
-            flags.append(np.full(len(ids), mine, np.int8))
+            failed |= plan.m - int((size >= 2).sum()) > plan.z
             of = np.repeat(np.arange(len(ids)), size)
             many = size[of] >= 2
-            keys.append(mix((total[of] - mixed)[many] ^ where[of][many]))
-            flags.append(np.full(int(many.sum()), mine | 2, np.int8))
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int8), failed
-    return np.concatenate(keys), np.concatenate(flags), failed
+            keys.append(np.append(mix(total ^ where), mix((total[of] - mixed)[many] ^ where[of][many])))
+            flags.append(np.append(np.full(len(ids), mine, np.int8), np.full(int(many.sum()), mine | 2, np.int8)))
+    return keys, flags, maps, failed
 
 
 def _arrays(column: pa.ListArray) -> list[np.ndarray]:
@@ -229,35 +238,50 @@ def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
     everything = max(1, sum(sizes.values()))
     share = float((sketch.astype(float) ** 2).sum() / max(1.0, float(sketch.sum())) / everything)
     plans = allocate(threshold, tops, counts, min(1.0, share))
-    sent = spark.sparkContext.broadcast((tops, plans, sketch))
+    logs = np.log(np.clip(sketch / everything, 1e-12, 1)).round(3)
+    sent = spark.sparkContext.broadcast((tops, plans, logs))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tops_, plans_, sketch_ = sent.value
+        tops_, plans_, logs_ = sent.value
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
-                ids, ks, fs, ns = [], [], [], []
+                ids, ks, fs, ns, bits = [], [], [], [], []
                 with np.errstate(over="ignore"):
                     for i, toks in zip(batch.column(0).to_pylist(), _arrays(batch.column(1))):
-                        key, flag, failed = signatures(toks, threshold, tops_, plans_, sketch_)
+                        keys, flags, maps, failed = signatures(toks, threshold, tops_, plans_, logs_)
                         if failed:
-                            key, flag = np.append(key, np.uint64(0)), np.append(flag, np.int8(8))
-                        ks.append(key)
-                        fs.append(flag)
-                        ids.append(np.full(len(key), i, np.int64))
-                        ns.append(np.full(len(key), len(toks), np.int32))
+                            keys, flags, maps = [*keys, np.zeros(1, np.uint64)], [*flags, np.full(1, 8, np.int8)], [*maps, b""]
+                        ks += keys
+                        fs += flags
+                        for key, m in zip(keys, maps):
+                            ids.append(np.full(len(key), i, np.int64))
+                            ns.append(np.full(len(key), len(toks), np.int32))
+                            bits += [m] * len(key)
                 if ks:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([k_.view(np.int64) for k_ in ks], ids, ns, fs)], names=["key", "id", "n", "flag"])
-
-    sigs = kept(sets.select("id", "toks").mapInArrow(emit, "key long, id long, n int, flag tinyint"))
-    hard = sigs.where("flag = 8").select("id").distinct()
-    sigs = sigs.where("flag < 8")
-    # a signature that only one set has can't meet another
-    x, y = sigs.alias("x"), sigs.alias("y")
-    near = (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(threshold) - 1e-9) & (F.col("x.id") < F.col("y.id"))
-    flags = (F.col("x.flag").bitwiseOR(F.col("y.flag")).bitwiseAND(1) == 1) & (F.col("x.flag").bitwiseAND(F.col("y.flag")).bitwiseAND(2) == 0)
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & near & flags).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    pairs = pairs.unionByName(token_lookup(sets, hard, threshold)).distinct()
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in ([k_.view(np.int64) for k_ in ks], ids, ns, fs)), pa.array(bits, pa.binary())], names=["key", "id", "n", "flag", "bits"])
+
+    sigs = sets.select("id", "toks").mapInArrow(emit, f"{SIGNATURE}")
+    if any(p.kind == "deletion" for p in plans.values()):
+        sigs = cut(sigs)
+        lookup = token_lookup(sets, sigs.where("flag = 8").select("id").distinct(), threshold)
+        sigs = sigs.where("flag < 8")
+    else:
+        lookup = None
+    meet = meetings(threshold)
+    met = kept(sigs.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(meet, f"a long, b long, {SIGNATURE}"))
+    pairs = met.where("a is not null").select("a", "b").distinct()
+    # keys of more sets than a task should pair: each pair of blocks is a group of its own
+    hot = met.where("a is null").select("key", "id", "n", "flag", "bits")
+    size = hot.groupBy("key").agg(F.ceil(F.count("*") / (HOT_KEY // 2)).cast("int").alias("blocks"))
+    hot = hot.join(size, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    hot = hot.withColumn("key", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
+    again = hot.select("key", "id", "n", "flag", "bits").repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(meetings(threshold, 1 << 62), f"a long, b long, {SIGNATURE}")
+    pairs = pairs.unionByName(again.select("a", "b"))
+    if lookup is not None:
+        pairs = pairs.unionByName(lookup)
+    pairs = pairs.distinct()
     pairs = kept(pairs)
     # the sets travel once for each candidate, and only those of candidates
     some = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -268,6 +292,90 @@ def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
     return both.where(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")) >= threshold).select("a", "b")
 
 
+SIGNATURE = "key long, id long, n int, flag tinyint, bits binary"
+
+
+def meetings(threshold: float, most: int | None = None):
+    """Over signatures sorted by key: pairs that may be similar; whole groups of more than ``most`` sets are passed on."""
+    limit = HOT_KEY if most is None else most
+
+    def group(ids: np.ndarray, n: np.ndarray, flag: np.ndarray, bits: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        maps = np.frombuffer(b"".join(bits), np.uint64).reshape(len(ids), -1)
+        for i in range(0, len(ids), 256):
+            for j in range(i, len(ids), 256):
+                x, y = slice(i, i + 256), slice(j, j + 256)
+                small, large = np.minimum(n[x, None], n[None, y]), np.maximum(n[x, None], n[None, y])
+                ok = (small >= large * threshold - 1e-9) & ((flag[x, None] | flag[None, y]) & 1 == 1) & (flag[x, None] & flag[None, y] & 2 == 0)
+                ok &= ids[x, None] != ids[None, y]
+                if i == j:
+                    ok &= np.arange(ok.shape[0])[:, None] < np.arange(ok.shape[1])[None]
+                a, b = np.nonzero(ok)
+                a, b = a + i, b + j
+                far = np.bitwise_count(maps[a] ^ maps[b]).sum(axis=1, dtype=np.int64)
+                near = far <= ((1 - threshold) / (1 + threshold) * (n[a] + n[b]) + 1e-9).astype(np.int64)
+                if near.any():
+                    yield ids[a[near]], ids[b[near]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        held, passing = 0, None
+
+        def out(pairs, hot=None):
+            if pairs:
+                a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                none = pa.nulls(both.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int8()), none.cast(pa.binary())], names=NAMES)
+            if hot is not None and hot.num_rows:
+                none = pa.nulls(hot.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, *hot.columns], names=NAMES)
+
+        def settle(part: pa.RecordBatch):
+            """All groups of ``part`` are whole."""
+            key = part.column(0).to_numpy()
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            last = np.append(first[1:], len(key))
+            multi = last - first > 1
+            ids, n, flag = (part.column(i).to_numpy() for i in (1, 2, 3))
+            found = []
+            bits = part.column(4)
+            for a, b in zip(first[multi], last[multi]):
+                found.extend(group(ids[a:b], n[a:b], flag[a:b], bits.slice(a, b - a).to_pylist()))
+            yield from out(found)
+
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            if not len(key):
+                continue
+            if passing is not None:  # the rest of a group that is too large
+                same = int(np.searchsorted(key, passing, "right"))
+                yield from out([], batch.slice(0, same))
+                batch = batch.slice(same)
+                key = key[same:]
+                if not len(key):
+                    continue
+                passing = None
+            rest.append(batch)
+            held += batch.num_rows
+            cut_at = int(np.searchsorted(key, key[-1], "left"))
+            whole = cut_at > 0
+            if whole:
+                done = [*rest[:-1], batch.slice(0, cut_at)]
+                yield from settle(pa.concat_batches(done))
+                rest, held = [batch.slice(cut_at)], batch.num_rows - cut_at
+            if held > limit:
+                for r in rest:
+                    yield from out([], r)
+                passing, rest, held = int(key[-1]), [], 0
+        if rest:
+            yield from settle(pa.concat_batches(rest))
+
+    return run
+
+
+NAMES = ["a", "b", "key", "id", "n", "flag", "bits"]
+
+
 def token_lookup(sets: DataFrame, hard: DataFrame, threshold: float) -> DataFrame:
     """Candidates of the few sets whose signatures guarantee nothing: any set that has one of their first tokens."""
     few = sets.select("id", "n", "toks").join(hard, "id", "left_semi")

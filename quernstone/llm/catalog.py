@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quernstone.llm import encoding, nearsets, repeats
+from quernstone.llm import encoding, nearsets, neighbours, repeats
 
 QUERIES = {
     "p2_found": repeats.found,
     "p2_clean": repeats.clean,
     "p5_found": nearsets.found,
     "p5_groups": nearsets.groups,
+    "p6_found": neighbours.found,
     "p8_ids": encoding.ids,
 }
 ORACLES = {

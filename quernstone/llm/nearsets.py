@@ -18,7 +18,7 @@ by token against all sets instead, so no pair is lost.
 
 Every signature carries its set's parity bitmap, whose Hamming distance never exceeds the number of
 differing tokens; sets that meet are compared by it where they meet, in blocks, so that chance
-meetings cost no shuffle. Keys with more than ``HOT_KEY`` sets are split into pairs of blocks that
+meetings cost no shuffle. Keys with more than ``meet.HOT_KEY`` sets are split into pairs of blocks that
 spread over tasks. What is left is verified on the whole sets.
 
 Sets that are equal are one class and searched once; members are expanded at the very end.
@@ -40,6 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.llm.meet import together
 from quernstone.llm.repeats import mix
 from quernstone.runtime import cut, kept, table
 
@@ -48,7 +49,6 @@ THRESHOLD = 0.7
 SKETCH_BITS = 20  # buckets of the token-frequency sketch, 4 MB
 SMALL = 64  # sets up to this size use their tokens as segments
 COPIES_BLOCK = 1000  # members of a class that are paired in one task
-HOT_KEY = 8192  # sets under one key that are paired in one task
 BITS_PER_TOKEN = 1.6  # of the parity bitmaps, by a band's top size
 
 _word = re.compile(r"[^\W_]+")
@@ -268,17 +268,8 @@ def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
         sigs = sigs.where("flag < 8")
     else:
         lookup = None
-    meet = meetings(threshold)
-    met = kept(sigs.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(meet, f"a long, b long, {SIGNATURE}"))
-    pairs = met.where("a is not null").select("a", "b").distinct()
-    # keys of more sets than a task should pair: each pair of blocks is a group of its own
-    hot = met.where("a is null").select("key", "id", "n", "flag", "bits")
-    size = hot.groupBy("key").agg(F.ceil(F.count("*") / (HOT_KEY // 2)).cast("int").alias("blocks"))
-    hot = hot.join(size, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    hot = hot.withColumn("key", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
-    again = hot.select("key", "id", "n", "flag", "bits").repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(meetings(threshold, 1 << 62), f"a long, b long, {SIGNATURE}")
-    pairs = pairs.unionByName(again.select("a", "b"))
+    heads = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    pairs = together(sigs, "id", meetings(threshold), heads, "a long, b long")
     if lookup is not None:
         pairs = pairs.unionByName(lookup)
     pairs = pairs.distinct()
@@ -295,9 +286,8 @@ def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
 SIGNATURE = "key long, id long, n int, flag tinyint, bits binary"
 
 
-def meetings(threshold: float, most: int | None = None):
-    """Over signatures sorted by key: pairs that may be similar; whole groups of more than ``most`` sets are passed on."""
-    limit = HOT_KEY if most is None else most
+def meetings(threshold: float):
+    """Pairs of sets under one key that may be similar: by size, kind of signature and bitmap."""
 
     def group(ids: np.ndarray, n: np.ndarray, flag: np.ndarray, bits: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         maps = np.frombuffer(b"".join(bits), np.uint64).reshape(len(ids), -1)
@@ -316,64 +306,16 @@ def meetings(threshold: float, most: int | None = None):
                 if near.any():
                     yield ids[a[near]], ids[b[near]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
-        held, passing = 0, None
-
-        def out(pairs, hot=None):
-            if pairs:
-                a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                none = pa.nulls(both.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int8()), none.cast(pa.binary())], names=NAMES)
-            if hot is not None and hot.num_rows:
-                none = pa.nulls(hot.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, *hot.columns], names=NAMES)
-
-        def settle(part: pa.RecordBatch):
-            """All groups of ``part`` are whole."""
-            key = part.column(0).to_numpy()
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            last = np.append(first[1:], len(key))
-            multi = last - first > 1
-            ids, n, flag = (part.column(i).to_numpy() for i in (1, 2, 3))
-            found = []
-            bits = part.column(4)
-            for a, b in zip(first[multi], last[multi]):
-                found.extend(group(ids[a:b], n[a:b], flag[a:b], bits.slice(a, b - a).to_pylist()))
-            yield from out(found)
+    def settle(rows: pa.RecordBatch, first: np.ndarray, last: np.ndarray) -> list[pa.RecordBatch]:
+        ids, n, flag = (rows.column(i).to_numpy() for i in (1, 2, 3))
+        found = [f for a, b in zip(first, last) for f in group(ids[a:b], n[a:b], flag[a:b], rows.column(4).slice(a, b - a).to_pylist())]
+        if not found:
+            return []
+        a, b = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return [pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])]
 
-        for batch in batches:
-            key = batch.column(0).to_numpy()
-            if not len(key):
-                continue
-            if passing is not None:  # the rest of a group that is too large
-                same = int(np.searchsorted(key, passing, "right"))
-                yield from out([], batch.slice(0, same))
-                batch = batch.slice(same)
-                key = key[same:]
-                if not len(key):
-                    continue
-                passing = None
-            rest.append(batch)
-            held += batch.num_rows
-            cut_at = int(np.searchsorted(key, key[-1], "left"))
-            whole = cut_at > 0
-            if whole:
-                done = [*rest[:-1], batch.slice(0, cut_at)]
-                yield from settle(pa.concat_batches(done))
-                rest, held = [batch.slice(cut_at)], batch.num_rows - cut_at
-            if held > limit:
-                for r in rest:
-                    yield from out([], r)
-                passing, rest, held = int(key[-1]), [], 0
-        if rest:
-            yield from settle(pa.concat_batches(rest))
-
-    return run
-
-
-NAMES = ["a", "b", "key", "id", "n", "flag", "bits"]
+    return settle
 
 
 def token_lookup(sets: DataFrame, hard: DataFrame, threshold: float) -> DataFrame:

@@ -209,10 +209,9 @@ def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def similar_pairs(rows: DataFrame, k: int, least: float, dims: int = 64) -> DataFrame:
     """(chunk_a, chunk_b) in which one is among the other's k most similar and the cosine is at least ``least``."""
-    vectors = kept(unit_vectors(rows, dims))
-    classes = vectors.groupBy("vec").agg(F.min("id").alias("first"), F.count("*").alias("size")).withColumn("rep", F.xxhash64("vec"))
-    classes = cut(classes.select("rep", "vec", "first", "size"))
-    members = kept(vectors.join(classes.select("vec", "rep"), "vec").select("id", "rep"))
+    vectors = kept(unit_vectors(rows, dims).withColumn("rep", F.xxhash64("vec")))
+    classes = cut(vectors.groupBy("rep").agg(F.first("vec").alias("vec")))
+    members = vectors.select("id", "rep")
     links = nearest_classes(classes.select("rep", "vec"), classes.count(), k, least, dims)
     # a class's own copies come before any other class; of a class only its k smallest ids can be among the k nearest of others
     w = Window.partitionBy("rep").orderBy("id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernstone.llm import encoding, nearsets, neighbours, repeats
+from quernstone.llm import encoding, maincontent, nearsets, neighbours, repeats
 
 QUERIES = {
     "p2_found": repeats.found,
@@ -10,6 +10,7 @@ QUERIES = {
     "p5_found": nearsets.found,
     "p5_groups": nearsets.groups,
     "p6_found": neighbours.found,
+    "p7_found": maincontent.found,
     "p8_ids": encoding.ids,
 }
 ORACLES = {

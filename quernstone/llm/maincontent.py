@@ -9,8 +9,8 @@ nested in it that hold asides, comments, promotion; lists of bare labels) are th
 
 Markdown has no elements, so its lines are judged by ratio of text to marks, by position (nothing
 before the title), by the form of their block (lists of bare titles), by a lexicon of the words
-such lines are made of, and by how many URLs of the site repeat them (``repeats``: the same
-content-defined chunks and counts, at a lower share).
+such lines are made of, and by how many differently titled pages of the site repeat them (lines and
+counts as in ``repeats``, at a lower share; copies of one article have one title).
 
 Defined results: null, empty or blank input has no blocks; broken markup closes where HTML closes
 it implicitly; blocks come once per head; extra columns aren't read; an empty table gives no rows.
@@ -33,7 +33,7 @@ from quernstone.runtime import cut, kept, table
 
 HEAD = 40
 SIGMA = 1.0
-REPEATED_SHARE, REPEATED_URLS = 0.01, 5
+REPEATED_SHARE, REPEATED_TITLES = 0.01, 5
 
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html iframe legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
@@ -55,11 +55,11 @@ IMPLIED = {
 
 LABELS = re.compile(
     r"(?i)\b(?:cookies?|unsubscribe|newsletter|all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos|"
-    r"accept all|read next|related (?:posts|articles|pages)|skip to content|you are here|tags?\s*:|subscribe\s*:|"
+    r"accept all|read next|related (?:posts|articles|pages)|skip to content|you are here|"
     r"reply to|wrote \d+ (?:minutes?|hours?|days?|weeks?|months?) ago|min(?:utes?)? read|"
     r"share this|copy link|send by mail|pass it on|partager|teile diesen|comparte|follow us|shared \d+ times|"
     r"written by|reviewed by|last reviewed|senior editor|terms of use|privacy policy|impressum|mentions légales|aviso legal|"
-    r"read more|weiterlesen|lire la suite|leer más|schlagwörter|mots-clés|etiquetas)\b|©|\(c\) \d{4}"
+    r"read more|weiterlesen|lire la suite|leer más|schlagwörter|mots-clés|etiquetas)\b|^(?:tags?|subscribe|topics?)\s*:|©|\(c\) \d{4}"
 )
 BYLINE = re.compile(r"(?i)^(?:by|par|von|por|text|written by|autor|author|auteur)\b[:\s].{0,80}\d")
 DATED = re.compile(r"\d{4}-\d\d?-\d\d?|\d\d?[./]\d\d?[./]\d{4}")
@@ -272,9 +272,15 @@ def article_of_markdown(text: str | None, repeated: frozenset[int] | set[int] =
         j = i
         while j < len(lines) and ITEM.match(lines[j]):
             j += 1
-        items = lines[i:j]
-        if sum(bare(x.strip()) for x in items) > len(items) / 2:
-            drop |= set(range(i, j))
+        short = [bare(x.strip()) for x in lines[i:j]]
+        k = i
+        while k < j:  # a list may follow another without a blank line
+            e = k
+            while e < j and short[e - i]:
+                e += 1
+            if e - k >= 2 or (e > k and e - k == j - i):
+                drop |= set(range(k, e))
+            k = max(e, k + 1)
         i = j
     ratio = np.array([len(LINK.sub("", line)) / (1 + 8 * len(LINK.findall(line)) + len(MARKS.findall(LINK.sub("", line)))) for line in lines])
     thin = ~dense(ratio) & (ratio < 12)
@@ -359,14 +365,17 @@ def markdown_articles(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     src = repeats.source_docs(docs)
     sites = kept(src.select(F.col("__site").alias("site"), "__url").distinct().groupBy("site").agg(F.count("*").alias("urls")))
-    lines = src.where(F.length("__text") > 0).mapInArrow(repeats._lines(None), "ord int, line_no int, site long, url long, line long, chunks array<long>")
-    hot = cut(repeats.repeated(lines.select("site", "url", "line"), sites, "line", REPEATED_URLS, REPEATED_SHARE))
+    # the title without the site's name counts, not the URL
+    name = F.regexp_replace(F.regexp_replace(F.lower("title"), r"\s[|\u2013\u2014-]\s.*$", ""), r"[^\p{L}]", "")
     host = F.regexp_extract(F.lower(F.col("url")), r"^[a-z][a-z0-9+.-]*://([^/?#]+)", 1)
+    titled = docs.where(host != "").select(F.col("ord").alias("__ord"), F.xxhash64(host).alias("__site"), F.xxhash64(F.coalesce(F.when(name != "", name), "url")).alias("__url"), F.col("markdown").alias("__text"))
+    lines = titled.where(F.length("__text") > 0).mapInArrow(repeats._lines(None), "ord int, line_no int, site long, url long, line long, chunks array<long>")
+    hot = cut(repeats.repeated(lines.select("site", "url", "line"), sites, "line", REPEATED_TITLES, REPEATED_SHARE))
     rows = docs.where(F.length("markdown") > 0).select(F.col("ord").cast("long").alias("rec_id"), F.xxhash64(host).alias("site"), "markdown")
     if hot.count() <= repeats.BROADCAST_KEYS:
         keys = hot.toPandas()
         with np.errstate(over="ignore"):
-            known = np.sort(repeats.mix(keys["site"].to_numpy(np.int64).astype(np.uint64) ^ keys["item" if "item" in keys else "line"].to_numpy(np.int64).astype(np.uint64)))
+            known = np.sort(repeats.mix(keys["site"].to_numpy(np.int64).astype(np.uint64) ^ keys["line"].to_numpy(np.int64).astype(np.uint64)))
         sent, rows = spark.sparkContext.broadcast(known), rows.withColumn("gone", F.array().cast("array<int>"))
     else:
         gone = lines.join(hot, ["site", "line"]).groupBy(F.col("ord").cast("long").alias("rec_id")).agg(F.collect_set("line_no").alias("gone"))

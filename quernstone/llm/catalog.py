@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from quernstone.llm import encoding, maincontent, nearsets, neighbours, repeats
+from quernstone.llm import encoding, maincontent, nearsets, neighbours, personal, repeats
 
 QUERIES = {
+    "p1_found": personal.found,
+    "p1_redacted": personal.redacted,
     "p2_found": repeats.found,
     "p2_clean": repeats.clean,
     "p5_found": nearsets.found,

@@ -40,6 +40,7 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style template noscript head title svg canvas iframe object select textarea button option".split())
+HEADINGS = {f"h{i}": i for i in range(1, 7)}
 SECTIONS = frozenset("body div section main article td aside nav footer header form dialog center fieldset".split())
 ASIDE = frozenset("nav footer aside dialog form".split())
 #: an opening tag ends an open element of these, up to the next element of the second set
@@ -98,7 +99,7 @@ class Reader(HTMLParser):
                 if node.tag in ("ul", "ol", "menu") and of is None:
                     of = node
                 node = node.parent
-            level = next((int(n.tag[1]) for n in reversed(self.stack) if re.fullmatch("h[1-6]", n.tag)), 0)
+            level = next((HEADINGS[n.tag] for n in reversed(self.stack) if n.tag in HEADINGS), 0)
             self.blocks.append(Block(text, self.tags, self.linked, leaf, node, of, level))
         self.text, self.tags, self.linked = [], 0, 0
 
@@ -129,7 +130,7 @@ class Reader(HTMLParser):
                     break
                 if self.stack[i].tag in SECTIONS or self.stack[i].tag in ("li", "blockquote", "td", "dd"):
                     break
-            if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", self.stack[-1].tag):
+            if tag in HEADINGS and self.stack[-1].tag in HEADINGS:
                 self.close_to(len(self.stack) - 1)
             if tag in IMPLIED:
                 ends, stops = IMPLIED[tag]
@@ -204,14 +205,18 @@ def dense(ratio: np.ndarray) -> np.ndarray:
     if len(ratio) < 3:
         return np.ones(len(ratio), bool)
     x = np.log1p(smoothed(ratio))
-    low, high = x.min(), x.max()
+    # 2-means on a line ends at a cut of the sorted values
+    y = np.sort(x)
+    sums, split = np.concatenate([[0.0], np.cumsum(y)]), (y[0] + y[-1]) / 2
     for _ in range(20):
-        split = (low + high) / 2
-        a, b = x[x < split], x[x >= split]
-        if not len(a) or not len(b):
+        k = int(np.searchsorted(y, split))
+        if k in (0, len(y)):
             break
-        low, high = a.mean(), b.mean()
-    return x >= (low + high) / 2
+        new = (sums[k] / k + (sums[-1] - sums[k]) / (len(y) - k)) / 2
+        if new == split:
+            break
+        split = new
+    return x >= split
 
 
 def bare(text: str) -> bool:
@@ -251,10 +256,17 @@ def article_of_html(page: str | None) -> list[str]:
 
 MARKS = re.compile(r"[\[\]()|*_`>#~]")
 PLAIN = re.compile(r"^[\s>*_~]+|[\s*_~]+$")
+TRAIL = re.compile(r"[←→»›]|(?:\S+ · ){2}")
 LINK = re.compile(r"!?\[[^\]]*\]\([^)]*\)")
 ITEM = re.compile(r"^\s*(?:[-*+]|\d+[.)])\s+")
 
 
+def mark_ratio(line: str) -> float:
+    links = LINK.findall(line) if "](" in line else []
+    rest = LINK.sub("", line) if links else line
+    return len(rest) / (1 + 8 * len(links) + len(MARKS.findall(rest)))
+
+
 def article_of_markdown(text: str | None, repeated: frozenset[int] | set[int] = frozenset()) -> list[str]:
     """The article's lines, marks kept. repeated: numbers of lines that the site repeats."""
     if not text or not text.strip():
@@ -282,7 +294,7 @@ def article_of_markdown(text: str | None, repeated: frozenset[int] | set[int] =
                 drop |= set(range(k, e))
             k = max(e, k + 1)
         i = j
-    ratio = np.array([len(LINK.sub("", line)) / (1 + 8 * len(LINK.findall(line)) + len(MARKS.findall(LINK.sub("", line)))) for line in lines])
+    ratio = np.array([mark_ratio(line) for line in lines])
     thin = ~dense(ratio) & (ratio < 12)
     out, code = [], False
     for n, line in enumerate(lines):
@@ -297,17 +309,17 @@ def article_of_markdown(text: str | None, repeated: frozenset[int] | set[int] =
         if code or heading:
             out.append(line)
             continue
-        links = LINK.findall(s)
-        rest = LINK.sub("", s).strip(" |·•/,»>-")
-        if links and len(rest) < sum(map(len, links)) / 3:
+        links = LINK.findall(s) if "](" in s else []
+        if links and len(LINK.sub("", s).strip(" |·•/,»>-")) < sum(map(len, links)) / 3:
             continue
-        if re.search(r"[←→»›]|(?:\S+ · ){2}", s) and (bare(s) or s.startswith("←")):
+        short = len(s) < 160
+        if (short or s[0] == "←") and TRAIL.search(s) and (bare(s) or s[0] == "←"):
             continue
-        if LABELS.search(s) and (len(s) < 160 or re.search(r"(?i)wrote \d+|cookie", s)) and not row:
+        if not row and (short or " wrote " in s or "ookie" in s) and LABELS.search(s):
             continue
-        if not row and BYLINE.match(s) and len(s) < 120:
+        if not row and len(s) < 120 and BYLINE.match(s):
             continue
-        if not row and DATED.search(s) and len(s) < 100 and bare(s):
+        if not row and len(s) < 100 and DATED.search(s) and bare(s):
             continue
         if thin[n] and links:
             continue
@@ -340,7 +352,7 @@ def _markdown(hot):
                 texts = part.column(2).to_pylist()
                 gone: list[set[int]] = [set(x or ()) for x in part.column(3).to_pylist()]
                 if known is not None and len(known):
-                    doc, no, n, line, _, _ = repeats.chunk_lines([t or "" for t in texts])
+                    doc, no, n, line, _, _ = repeats.chunk_lines([t or "" for t in texts], chunks=False)
                     key = repeats.mix(part.column(1).fill_null(0).to_numpy()[doc].astype(np.uint64) ^ line)
                     hit = (known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key) & (n >= repeats.MIN_LETTERS)
                     for d, i in zip(doc[hit].tolist(), no[hit].tolist()):
@@ -369,7 +381,7 @@ def markdown_articles(docs: DataFrame) -> DataFrame:
     name = F.regexp_replace(F.regexp_replace(F.lower("title"), r"\s[|\u2013\u2014-]\s.*$", ""), r"[^\p{L}]", "")
     host = F.regexp_extract(F.lower(F.col("url")), r"^[a-z][a-z0-9+.-]*://([^/?#]+)", 1)
     titled = docs.where(host != "").select(F.col("ord").alias("__ord"), F.xxhash64(host).alias("__site"), F.xxhash64(F.coalesce(F.when(name != "", name), "url")).alias("__url"), F.col("markdown").alias("__text"))
-    lines = titled.where(F.length("__text") > 0).mapInArrow(repeats._lines(None), "ord int, line_no int, site long, url long, line long, chunks array<long>")
+    lines = titled.where(F.length("__text") > 0).mapInArrow(repeats._lines(None, chunks=False), "ord int, line_no int, site long, url long, line long, chunks array<long>")
     hot = cut(repeats.repeated(lines.select("site", "url", "line"), sites, "line", REPEATED_TITLES, REPEATED_SHARE))
     rows = docs.where(F.length("markdown") > 0).select(F.col("ord").cast("long").alias("rec_id"), F.xxhash64(host).alias("site"), "markdown")
     if hot.count() <= repeats.BROADCAST_KEYS:

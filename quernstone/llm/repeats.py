@@ -59,14 +59,16 @@ def letters() -> np.ndarray:
     return _letters
 
 
-def chunk_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def chunk_lines(texts: list[str], chunks: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Chunks and lines of a batch of texts.
 
     Returns doc, line number, number of letters and hash of each line that has letters, and for
-    each chunk the index of its line (into those arrays) and its hash.
+    each chunk the index of its line (into those arrays) and its hash; with chunks false, those of
+    the lines only.
     """
-    codes = np.frombuffer("\n".join(t.lower() for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.array([len(t.lower()) + 1 for t in texts])
+    low = [t.lower() for t in texts]
+    codes = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.array([len(t) + 1 for t in low])
     keep = letters()[codes] | (codes == 10)
     doc_start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     # line index over the batch, and of each document's first line
@@ -79,8 +81,8 @@ def chunk_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     nl = np.append(nl, True)
     gear = mix(c.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     gear[nl] = 0
-    roll = gear.copy()
-    step = 1
+    roll = gear.copy() if chunks else gear
+    step = 1 if chunks else WINDOW
     while step < WINDOW:
         moved = np.zeros_like(roll)
         moved[step:] = roll[:-step] << np.uint64(step)
@@ -89,8 +91,9 @@ def chunk_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     line = np.concatenate([[0], np.cumsum(nl)[:-1]])
     # a cut after this letter; the hash of a line's first letters mustn't reach into the line before
     start_of_line = np.concatenate([[0], np.flatnonzero(nl)[:-1] + 1])
-    place = np.arange(len(c)) - start_of_line[line]
-    ends = (((roll >> np.uint64(40)) & MASK) == 0) & (place >= WINDOW - 1) & ~nl
+    if chunks:
+        place = np.arange(len(c)) - start_of_line[line]
+        ends = (((roll >> np.uint64(40)) & MASK) == 0) & (place >= WINDOW - 1) & ~nl
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.full(len(c), BASE, np.uint64))
         back = np.cumprod(np.full(len(c), INVERSE, np.uint64))
@@ -106,6 +109,8 @@ def chunk_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
         lines = np.flatnonzero(some)
         doc = np.searchsorted(first_line, lines, "right") - 1
         line_hash = hashed(a[some], b[some])
+        if not chunks:
+            return doc, lines - first_line[doc], (b - a)[some], line_hash, lines[:0], line_hash[:0]
         cut_after = np.flatnonzero(ends | nl)
         cb = np.where(nl[cut_after], cut_after, cut_after + 1)
         ca = np.concatenate([[0], np.where(nl[cut_after], cut_after + 1, cut_after + 1)[:-1]])
@@ -138,7 +143,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(site[d]), pa.array(url[d]), pa.array(pair[1].astype(np.int64))], names=["site", "url", "chunk"])
 
 
-def _lines(hot: np.ndarray | None):
+def _lines(hot, chunks: bool = True):
     """(ord, line_no, site, url, line, chunks); with ``hot``, only lines all of whose chunks are in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +151,7 @@ def _lines(hot: np.ndarray | None):
         for whole in batches:
             for batch in pieces(whole):
                 ord_, site, url = (batch.column(i).to_numpy() for i in range(3))
-                doc, no, n, line, of, chunk = chunk_lines(batch.column(3).to_pylist())
+                doc, no, n, line, of, chunk = chunk_lines(batch.column(3).to_pylist(), chunks)
                 keep = n >= MIN_LETTERS
                 if table_ is not None:
                     key = mix(site[doc[of]].astype(np.uint64) ^ chunk)
@@ -156,7 +161,7 @@ def _lines(hot: np.ndarray | None):
                 i = np.flatnonzero(keep)
                 d = doc[i]
                 cols = [pa.array(ord_[d]), pa.array(no[i].astype(np.int32)), pa.array(site[d]), pa.array(url[d]), pa.array(line[i].astype(np.int64))]
-                if table_ is None:
+                if table_ is None and chunks:
                     bounds = np.searchsorted(of, np.arange(len(n) + 1))
                     cols.append(pa.array([chunk[bounds[k] : bounds[k + 1]].astype(np.int64) for k in i], pa.list_(pa.int64())))
                 else:

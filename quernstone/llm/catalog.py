@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quernstone.llm import encoding, maincontent, nearsets, neighbours, personal, repeats
+from quernstone.llm import encoding, maincontent, nearsets, neighbours, pairs, personal, repeats
 
 QUERIES = {
     "p1_found": personal.found,
     "p1_redacted": personal.redacted,
     "p2_found": repeats.found,
     "p2_clean": repeats.clean,
+    "p4_found": pairs.found,
     "p5_found": nearsets.found,
     "p5_groups": nearsets.groups,
     "p6_found": neighbours.found,

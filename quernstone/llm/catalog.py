@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernstone.llm import abuse, encoding, maincontent, nearsets, neighbours, pairs, personal, repeats
+from quernstone.llm import abuse, encoding, maincontent, mixing, nearsets, neighbours, pairs, personal, repeats
 
 QUERIES = {
     "p1_found": personal.found,
@@ -15,6 +15,8 @@ QUERIES = {
     "p6_found": neighbours.found,
     "p7_found": maincontent.found,
     "p8_ids": encoding.ids,
+    "p9_mix": mixing.selection,
+    "p9_shares": mixing.shares,
     "p10_found": abuse.found,
     "p10_rates": abuse.rates,
 }

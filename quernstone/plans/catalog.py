@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quernstone.plans import increments
+from quernstone.plans import increments, queries
 
-QUERIES = {"p3_found": increments.found}
-ORACLES = {"p3_found": increments.FOUND_SQL}
-FLAGSHIP = "p3_found"
+QUERIES = {**queries.QUERIES, "p3_found": increments.found}
+ORACLES = {**queries.ORACLES, "p3_found": increments.FOUND_SQL}
+FLAGSHIP = "hybrid_search"

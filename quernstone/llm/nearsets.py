@@ -46,7 +46,7 @@ from quernstone.runtime import cut, kept, table
 
 WORDS = 3
 THRESHOLD = 0.7
-SKETCH_BITS = 20  # buckets of the token-frequency sketch, 4 MB
+SKETCH_BITS = 18  # buckets of the token-frequency sketch, 1 MB
 SMALL = 64  # sets up to this size use their tokens as segments
 COPIES_BLOCK = 1000  # members of a class that are paired in one task
 BITS_PER_TOKEN = 1.6  # of the parity bitmaps, by a band's top size
@@ -134,153 +134,176 @@ def cost_of(sketch: np.ndarray, toks: np.ndarray) -> np.ndarray:
     return sketch[(toks >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
 
 
-def bitmap(toks: np.ndarray, top: int) -> bytes:
-    """Parities of the tokens over so many buckets as suit a band."""
+def bitmaps(toks: np.ndarray, doc: np.ndarray, docs: int, top: int) -> list[bytes]:
+    """Parities of each set's tokens over so many buckets as suit a band."""
     bits = 64 * math.ceil(BITS_PER_TOKEN * top / 64)
-    return np.packbits(np.bincount((mix(toks ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).tobytes()
-
-
-def signatures(toks: np.ndarray, threshold: float, tops: np.ndarray, plans: dict[int, Plan], sketch: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[bytes], bool]:
-    """Keys, flags and bitmap of one set's signatures by band: flag 1 if it is the set's own band, 2 if a token was deleted. Last: whether the guarantee failed."""
-    n = len(toks)
-    own = int(np.searchsorted(tops, n))
-    keys, flags, maps, failed = [], [], [], False
-    least = math.ceil(threshold * n - 1e-9)
-    cost = cost_of(sketch, toks)
-    for k in range(int(np.searchsorted(tops, least)), own + 1):
+    place = doc * bits + (mix(toks ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(bits)).astype(np.int64)
+    packed = np.packbits((np.bincount(place, minlength=docs * bits) & 1).astype(np.uint8).reshape(docs, bits), axis=1)
+    return [r.tobytes() for r in packed]
+
+
+def first_of(doc: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which rows, sorted by set, are among the first ``most`` of theirs."""
+    start = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    place = np.arange(len(doc)) - np.repeat(start, np.diff(np.append(start, len(doc))))
+    return place < most[doc]
+
+
+def signatures(sets: list[np.ndarray], threshold: float, tops: np.ndarray, plans: dict[int, Plan], sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]]:
+    """Of a batch of sets, band by band: index of the set and key and flag of each signature, the sets' bitmaps with their indices in the band, and which sets' guarantee failed.
+
+    Flag 1 is for the set's own band, 2 for a deleted token.
+    """
+    n = np.array([len(s) for s in sets], np.int64)
+    least = np.ceil(threshold * n - 1e-9).astype(np.int64)
+    own = np.searchsorted(tops, n)
+    low = np.searchsorted(tops, least)
+    for k in range(int(low.min()), int(own.max()) + 1):
+        which = np.flatnonzero((low <= k) & (k <= own))
+        if not len(which):
+            continue
         plan, top = plans[k], int(tops[k])
-        h = allowed(threshold, n + (n / threshold if k == own else top))
-        mine = 1 if k == own else 0
-        maps.append(bitmap(toks, top))
+        size = n[which]
+        doc = np.repeat(np.arange(len(which)), size)
+        toks = np.concatenate([sets[i] for i in which])
+        mine = (own[which] == k).astype(np.int8)
+        h = np.floor((1 - threshold) / (1 + threshold) * (size + np.where(mine == 1, size / threshold, top)) + 1e-9).astype(np.int64)
+        maps = bitmaps(toks, doc, len(which), top)
+        failed = np.zeros(len(which), bool)
         seed = np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        cost = cost_of(sketch, toks)
         if plan.kind == "token":
-            order = np.lexsort((toks, cost))[: n - least + 1]
-            keys.append(mix(toks[order] ^ seed))
-            flags.append(np.full(len(order), mine, np.int8))
+            order = np.lexsort((toks, cost, doc))
+            order = order[first_of(doc[order], size - least[which] + 1)]
+            yield doc[order], mix(toks[order] ^ seed), mine[doc[order]], maps, which, failed
             continue
-        seg = (mix(toks ^ seed) % np.uint64(plan.m)).astype(np.int64)
+        seg = doc * plan.m + (mix(toks ^ seed) % np.uint64(plan.m)).astype(np.int64)
         order = np.argsort(seg, kind="stable")
-        ids, first, size = np.unique(seg[order], return_index=True, return_counts=True)
+        sorted_ = seg[order]
+        first = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+        count = np.diff(np.append(first, len(sorted_)))
+        of, place = sorted_[first] // plan.m, (sorted_[first] % plan.m).astype(np.uint64)
         mixed = mix(toks[order] + seed)
         total = np.add.reduceat(mixed, first)
-        where = mix(ids.astype(np.uint64) + seed)
+        where = mix(place + seed)
         if plan.kind == "exact":
             content = mix(total ^ where)
-            best = np.lexsort((content, np.add.reduceat(cost[order], first)))[: h + 1]
-            keys.append(content[best])
-            if (lack := h + 1 - len(best)) > 0:
-                empty = mix(np.setdiff1d(np.arange(plan.m), ids).astype(np.uint64) + seed)
-                keys[-1] = np.append(keys[-1], mix(np.sort(empty)[:lack]))
-            flags.append(np.full(len(keys[-1]), mine, np.int8))
+            # one total order for all sets: cost to three places, then the hash
+            weight = np.round(np.add.reduceat(cost[order].astype(np.float64), first), 3)
+            rank = np.lexsort((content, weight, of))
+            rank = rank[first_of(of[rank], h + 1)]
+            docs_, keys = of[rank], content[rank]
+            short = np.flatnonzero(np.bincount(of, minlength=len(which)) < h + 1)
+            for i in short:  # empty segments come last
+                held = place[of == i]
+                empty = np.sort(mix(np.setdiff1d(np.arange(plan.m), held.astype(np.int64)).astype(np.uint64) + seed))[: int(h[i]) + 1 - len(held)]
+                docs_, keys = np.append(docs_, np.full(len(empty), i)), np.append(keys, mix(empty))
+            yield docs_, keys, mine[docs_], maps, which, failed
         else:
-            failed |= plan.m - int((size >= 2).sum()) > plan.z
-            of = np.repeat(np.arange(len(ids)), size)
-            many = size[of] >= 2
-            keys.append(np.append(mix(total ^ where), mix((total[of] - mixed)[many] ^ where[of][many])))
-            flags.append(np.append(np.full(len(ids), mine, np.int8), np.full(int(many.sum()), mine | 2, np.int8)))
-    return keys, flags, maps, failed
+            failed = plan.m - np.bincount(of[count >= 2], minlength=len(which)) > plan.z
+            each = np.repeat(np.arange(len(first)), count)
+            many = count[each] >= 2
+            docs_ = np.append(of, of[each][many])
+            keys = np.append(mix(total ^ where), mix((total[each] - mixed)[many] ^ where[each][many]))
+            flags = mine[docs_] | np.append(np.zeros(len(of), np.int8), np.full(int(many.sum()), 2, np.int8))
+            yield docs_, keys, flags, maps, which, failed
 
 
-def _arrays(column: pa.ListArray) -> list[np.ndarray]:
-    flat, offs = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), column.offsets.to_numpy()
-    base = offs[0]
-    return [flat[a - base : b - base] for a, b in zip(offs[:-1], offs[1:])]
+def class_of(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def to_sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(id, n, set_key, toks) of every row with at least one shingle."""
+def survey(docs: DataFrame, words: int) -> DataFrame:
+    """Per row (id, cls, n) with the hash of its set, and per task (b, c): how many sets hold a token of each bucket."""
+    size = 1 << SKETCH_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 batch = whole.slice(k, 512)
                 sets = shingle_sets(batch.column(1).to_pylist(), words)
                 i = [j for j, s in enumerate(sets) if len(s)]
-                made = [sets[j].view(np.int64) for j in i]
-                digest = [xxhash.xxh3_128_digest(m.tobytes()) for m in made]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(i, pa.int64())), pa.array([len(m) for m in made], pa.int32()), pa.array(digest, pa.binary()), pa.array(made, pa.list_(pa.int64()))],
-                    names=["id", "n", "set_key", "toks"],
-                )
-
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("__text")).where(F.length("__text") > 0).mapInArrow(run, "id long, n int, set_key binary, toks array<long>")
-
-
-def frequency_sketch(sets: DataFrame) -> np.ndarray:
-    """How many sets have a token of each bucket: fixed size, whatever the corpus."""
-    size = 1 << SKETCH_BITS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            total += np.bincount((flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
+                if not i:
+                    continue
+                total += np.bincount((np.concatenate([sets[j] for j in i]) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
+                none = pa.nulls(len(i))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i, pa.int64())), pa.array([class_of(sets[j]) for j in i], pa.int64()), pa.array([len(sets[j]) for j in i], pa.int32()), none.cast(pa.int32()), none.cast(pa.int64())], names=["id", "cls", "n", "b", "c"])
         some = np.flatnonzero(total)
         for k in range(0, len(some), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(some[k : k + 100_000].astype(np.int32)), pa.array(total[some[k : k + 100_000]])], names=["b", "c"])
+            part = some[k : k + 100_000]
+            none = pa.nulls(len(part))
+            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), pa.array(part.astype(np.int32)), pa.array(total[part])], names=["id", "cls", "n", "b", "c"])
 
-    rows = sets.select("toks").mapInArrow(run, "b int, c long").groupBy("b").agg(F.sum("c").alias("c")).toPandas()
-    sketch = np.zeros(size, np.float32)
-    sketch[rows["b"].to_numpy()] = rows["c"].to_numpy()
-    return sketch
+    return docs.mapInArrow(run, "id long, cls long, n int, b int, c long")
 
 
-def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) ids with a < b of distinct sets (id, n, toks) whose Jaccard similarity reaches the threshold."""
-    spark = sets.sparkSession
-    sketch = frequency_sketch(sets)
-    sizes = {int(r.n): int(r["count"]) for r in sets.groupBy(F.pow(2.0, F.round(F.log2("n") * 8) / 8).cast("long").alias("n")).count().collect()}
-    tops = bands(threshold, sets.agg(F.max("n")).first()[0] or 1)
+def similar_classes(docs: DataFrame, seen: DataFrame, words: int, threshold: float) -> DataFrame:
+    """(a, b) with a < b: classes of (id, text) rows whose sets' Jaccard similarity reaches the threshold."""
+    spark = docs.sparkSession
+    rows = seen.where("b is not null").groupBy("b").agg(F.sum("c").alias("c")).toPandas()
+    sketch = np.zeros(1 << SKETCH_BITS, np.float64)
+    sketch[rows["b"].to_numpy(np.int64)] = rows["c"].to_numpy(np.float64)
+    sizes = {int(r.n): int(r["count"]) for r in seen.where("id is not null").groupBy(F.pow(2.0, F.round(F.log2("n") * 8) / 8).cast("long").alias("n")).count().collect()}
+    tops = bands(threshold, seen.agg(F.max("n")).first()[0] or 1)
     counts: dict[int, int] = {}
     for n, c in sizes.items():
         k = min(int(np.searchsorted(tops, n)), len(tops) - 1)
         counts[k] = counts.get(k, 0) + c
     everything = max(1, sum(sizes.values()))
-    share = float((sketch.astype(float) ** 2).sum() / max(1.0, float(sketch.sum())) / everything)
-    plans = allocate(threshold, tops, counts, min(1.0, share))
-    logs = np.log(np.clip(sketch / everything, 1e-12, 1)).round(3)
-    sent = spark.sparkContext.broadcast((tops, plans, logs))
+    plans = allocate(threshold, tops, counts, min(1.0, float((sketch**2).sum() / max(1.0, sketch.sum()) / everything)))
+    sent = spark.sparkContext.broadcast((tops, plans, np.log(np.clip(sketch / everything, 1e-12, 1)).astype(np.float32)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tops_, plans_, logs_ = sent.value
+        done: set[int] = set()  # copies within a task's rows are sent once
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
-                batch = whole.slice(k, 256)
-                ids, ks, fs, ns, bits = [], [], [], [], []
+                sets, ids = [], []
+                for s in shingle_sets(whole.column(1).slice(k, 256).to_pylist(), words):
+                    if len(s) and (c := class_of(s)) not in done:
+                        done.add(c)
+                        sets.append(s)
+                        ids.append(c)
+                if not sets:
+                    continue
+                cls, n = np.array(ids, np.int64), np.array([len(s) for s in sets], np.int32)
                 with np.errstate(over="ignore"):
-                    for i, toks in zip(batch.column(0).to_pylist(), _arrays(batch.column(1))):
-                        keys, flags, maps, failed = signatures(toks, threshold, tops_, plans_, logs_)
-                        if failed:
-                            keys, flags, maps = [*keys, np.zeros(1, np.uint64)], [*flags, np.full(1, 8, np.int8)], [*maps, b""]
-                        ks += keys
-                        fs += flags
-                        for key, m in zip(keys, maps):
-                            ids.append(np.full(len(key), i, np.int64))
-                            ns.append(np.full(len(key), len(toks), np.int32))
-                            bits += [m] * len(key)
-                if ks:
-                    yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in ([k_.view(np.int64) for k_ in ks], ids, ns, fs)), pa.array(bits, pa.binary())], names=["key", "id", "n", "flag", "bits"])
-
-    sigs = sets.select("id", "toks").mapInArrow(emit, f"{SIGNATURE}")
+                    for doc, key, flag, maps, which, failed in signatures(sets, threshold, tops_, plans_, logs_):
+                        if failed.any():
+                            bad = np.flatnonzero(failed)
+                            doc, key, flag = np.append(doc, bad), np.append(key, np.zeros(len(bad), np.uint64)), np.append(flag, np.full(len(bad), 8, np.int8))
+                        at = which[doc]
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls[at]), pa.array(n[at]), pa.array(flag.astype(np.int8)), pa.array(maps, pa.binary()).take(pa.array(doc))], names=["key", "id", "n", "flag", "bits"])
+
+    sigs = docs.mapInArrow(emit, SIGNATURE)
+    lookup = None
     if any(p.kind == "deletion" for p in plans.values()):
         sigs = cut(sigs)
-        lookup = token_lookup(sets, sigs.where("flag = 8").select("id").distinct(), threshold)
+        lookup = token_lookup(docs, sigs.where("flag = 8").select("id").distinct(), words, threshold)
         sigs = sigs.where("flag < 8")
-    else:
-        lookup = None
-    heads = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    pairs = together(sigs, "id", meetings(threshold), heads, "a long, b long")
+    pairs = together(sigs, "id", meetings(threshold), pa.schema([("a", pa.int64()), ("b", pa.int64())]), "a long, b long")
     if lookup is not None:
         pairs = pairs.unionByName(lookup)
-    pairs = pairs.distinct()
-    pairs = kept(pairs)
-    # the sets travel once for each candidate, and only those of candidates
-    some = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    used = sets.select("id", "n", "toks").join(some, "id", "left_semi")
-    left = used.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
-    right = used.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
-    return both.where(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")) >= threshold).select("a", "b")
+    pairs = kept(pairs.distinct())
+    # whole texts travel only for candidates
+    rep = seen.where("id is not null").groupBy("cls").agg(F.min("id").alias("id")).join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi")
+    used = kept(docs.join(rep, "id").select("cls", "text"))
+    both = pairs.join(used.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a").join(used.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                batch = whole.slice(k, 256)
+                x, y = (shingle_sets(batch.column(c).to_pylist(), words) for c in (2, 3))
+                good = []
+                for i, (s, t) in enumerate(zip(x, y)):
+                    common = len(np.intersect1d(s, t, assume_unique=True))
+                    if common / (len(s) + len(t) - common) >= threshold:
+                        good.append(i)
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(good, pa.int64())) for c in (0, 1)], names=["a", "b"])
+
+    return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
 SIGNATURE = "key long, id long, n int, flag tinyint, bits binary"
@@ -306,9 +329,37 @@ def meetings(threshold: float):
                 if near.any():
                     yield ids[a[near]], ids[b[near]]
 
+    def small(ids, n, flag, rows, first, last) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of many small groups at once, in portions."""
+        size = last - first
+        bits = rows.column(4)
+        offs = np.frombuffer(bits.buffers()[1], np.int32)[bits.offset : bits.offset + len(bits) + 1].astype(np.int64)
+        data = np.frombuffer(bits.buffers()[2], np.uint8)
+        portion = np.cumsum(size * (size - 1) // 2) // 1_000_000
+        for p in np.unique(portion):
+            f, g = first[portion == p], size[portion == p]
+            row = np.repeat(f, g) + np.arange(int(g.sum())) - np.repeat(np.cumsum(g) - g, g)
+            later = np.repeat(f + g, g) - row - 1
+            a = np.repeat(row, later)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
+            lo, hi = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+            ok = (lo >= hi * threshold - 1e-9) & ((flag[a] | flag[b]) & 1 == 1) & (flag[a] & flag[b] & 2 == 0) & (ids[a] != ids[b])
+            a, b = a[ok], b[ok]
+            width = offs[a + 1] - offs[a]
+            for w in np.unique(width):
+                i, j = a[width == w], b[width == w]
+                used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
+                maps = np.ascontiguousarray(data[offs[used][:, None] + np.arange(w)]).view(np.uint64)
+                far = np.bitwise_count(maps[back[: len(i)]] ^ maps[back[len(i) :]]).sum(axis=1, dtype=np.int64)
+                near = far <= ((1 - threshold) / (1 + threshold) * (n[i] + n[j]) + 1e-9).astype(np.int64)
+                yield ids[i[near]], ids[j[near]]
+
     def settle(rows: pa.RecordBatch, first: np.ndarray, last: np.ndarray) -> list[pa.RecordBatch]:
         ids, n, flag = (rows.column(i).to_numpy() for i in (1, 2, 3))
-        found = [f for a, b in zip(first, last) for f in group(ids[a:b], n[a:b], flag[a:b], rows.column(4).slice(a, b - a).to_pylist())]
+        large = last - first > 64
+        found = [f for a, b in zip(first[large], last[large]) for f in group(ids[a:b], n[a:b], flag[a:b], rows.column(4).slice(a, b - a).to_pylist())]
+        if (~large).any():
+            found += small(ids, n, flag, rows, first[~large], last[~large])
         if not found:
             return []
         a, b = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
@@ -318,18 +369,20 @@ def meetings(threshold: float):
     return settle
 
 
-def token_lookup(sets: DataFrame, hard: DataFrame, threshold: float) -> DataFrame:
+def token_lookup(docs: DataFrame, hard: DataFrame, words: int, threshold: float) -> DataFrame:
     """Candidates of the few sets whose signatures guarantee nothing: any set that has one of their first tokens."""
-    few = sets.select("id", "n", "toks").join(hard, "id", "left_semi")
-    need = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    probes = few.select(F.col("id").alias("i"), F.explode(F.slice("toks", F.lit(1), need.cast("int"))).alias("tok"))
-    return probes.join(sets.select(F.col("id").alias("j"), F.explode("toks").alias("tok")), "tok").where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                sets = [s for s in shingle_sets(whole.column(1).slice(k, 256).to_pylist(), words) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "toks"])
 
-def classes_of(sets: DataFrame) -> DataFrame:
-    """(id, rep): every row with the smallest id of its class of equal sets."""
-    rep = sets.groupBy("set_key").agg(F.min("id").alias("rep"))
-    return sets.select("id", "set_key").join(rep, "set_key").select("id", "rep")
+    sets = docs.mapInArrow(run, "id long, toks array<long>")
+    few = sets.join(hard, "id", "left_semi").dropDuplicates(["id"])
+    need = F.size("toks") - F.ceil(F.size("toks") * threshold - 1e-9) + 1
+    probes = few.select(F.col("id").alias("i"), F.explode(F.slice("toks", F.lit(1), need.cast("int"))).alias("tok"))
+    return probes.join(sets.select(F.col("id").alias("j"), F.explode("toks").alias("tok")), "tok").where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
 
 
 def copies(members: DataFrame) -> DataFrame:
@@ -343,11 +396,10 @@ def copies(members: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str, words: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Pairs of class representatives, and the membership (id, rep)."""
-    sets = kept(to_sets(docs, key, text, words))
-    members = kept(classes_of(sets))
-    reps = members.where("id = rep").select("id")
-    return similar_classes(cut(sets.join(reps, "id", "left_semi").select("id", "n", "toks")), threshold), members
+    """Pairs of classes, and the membership (id, rep) of every row that has a set."""
+    small = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.length("text") > 0)
+    seen = kept(survey(small, words))
+    return similar_classes(small, seen, words, threshold), seen.where("id is not null").select("id", F.col("cls").alias("rep"))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,4 +415,5 @@ def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p5_groups: (id, rep, links) of every row of ``documents``: five words, similarity 0.8; links to other texts' classes."""
     links, members = near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", 5, 0.8)
     n = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    return members.join(n, "rep", "left").select("id", "rep", F.coalesce("links", F.lit(0)).alias("links"))
+    first = members.groupBy("rep").agg(F.min("id").alias("first"))
+    return members.join(first, "rep").join(n, "rep", "left").select("id", F.col("first").alias("rep"), F.coalesce("links", F.lit(0)).alias("links"))

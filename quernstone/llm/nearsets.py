@@ -48,6 +48,7 @@ WORDS = 3
 THRESHOLD = 0.7
 SKETCH_BITS = 18  # buckets of the token-frequency sketch, 1 MB
 SMALL = 64  # sets up to this size use their tokens as segments
+KEY = np.uint64((1 << 48) - 1)  # bits of a signature that travel; a chance meeting more is found out where it happens
 COPIES_BLOCK = 1000  # members of a class that are paired in one task
 BITS_PER_TOKEN = 1.6  # of the parity bitmaps, by a band's top size
 
@@ -239,7 +240,7 @@ def survey(docs: DataFrame, words: int) -> DataFrame:
 
 
 def similar_classes(docs: DataFrame, seen: DataFrame, words: int, threshold: float) -> DataFrame:
-    """(a, b) with a < b: classes of (id, text) rows whose sets' Jaccard similarity reaches the threshold."""
+    """(a, b) with a < b: classes of (id, text) rows, ids being unique, whose sets' Jaccard similarity reaches the threshold."""
     spark = docs.sparkSession
     rows = seen.where("b is not null").groupBy("b").agg(F.sum("c").alias("c")).toPandas()
     sketch = np.zeros(1 << SKETCH_BITS, np.float64)
@@ -260,11 +261,11 @@ def similar_classes(docs: DataFrame, seen: DataFrame, words: int, threshold: flo
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 sets, ids = [], []
-                for s in shingle_sets(whole.column(1).slice(k, 256).to_pylist(), words):
+                for i, s in zip(whole.column(0).slice(k, 256).to_pylist(), shingle_sets(whole.column(1).slice(k, 256).to_pylist(), words)):
                     if len(s) and (c := class_of(s)) not in done:
                         done.add(c)
                         sets.append(s)
-                        ids.append(c)
+                        ids.append(i)
                 if not sets:
                     continue
                 cls, n = np.array(ids, np.int64), np.array([len(s) for s in sets], np.int32)
@@ -274,7 +275,7 @@ def similar_classes(docs: DataFrame, seen: DataFrame, words: int, threshold: flo
                             bad = np.flatnonzero(failed)
                             doc, key, flag = np.append(doc, bad), np.append(key, np.zeros(len(bad), np.uint64)), np.append(flag, np.full(len(bad), 8, np.int8))
                         at = which[doc]
-                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls[at]), pa.array(n[at]), pa.array(flag.astype(np.int8)), pa.array(maps, pa.binary()).take(pa.array(doc))], names=["key", "id", "n", "flag", "bits"])
+                        yield pa.RecordBatch.from_arrays([pa.array((key & KEY).view(np.int64)), pa.array(cls[at]), pa.array(n[at]), pa.array(flag.astype(np.int8)), pa.array(maps, pa.binary()).take(pa.array(doc))], names=["key", "id", "n", "flag", "bits"])
 
     sigs = docs.mapInArrow(emit, SIGNATURE)
     lookup = None
@@ -285,7 +286,10 @@ def similar_classes(docs: DataFrame, seen: DataFrame, words: int, threshold: flo
     pairs = together(sigs, "id", meetings(threshold), pa.schema([("a", pa.int64()), ("b", pa.int64())]), "a long, b long")
     if lookup is not None:
         pairs = pairs.unionByName(lookup)
-    pairs = kept(pairs.distinct())
+    # rows to classes: copies that different tasks sent are one again
+    cls = seen.where("id is not null").select("id", "cls")
+    pairs = pairs.distinct().join(cls.select(F.col("id").alias("a"), F.col("cls").alias("x")), "a").join(cls.select(F.col("id").alias("b"), F.col("cls").alias("y")), "b")
+    pairs = kept(pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     # whole texts travel only for candidates
     rep = seen.where("id is not null").groupBy("cls").agg(F.min("id").alias("id")).join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi")
     used = kept(docs.join(rep, "id").select("cls", "text"))
@@ -375,8 +379,9 @@ def token_lookup(docs: DataFrame, hard: DataFrame, words: int, threshold: float)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
-                sets = [s for s in shingle_sets(whole.column(1).slice(k, 256).to_pylist(), words) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "toks"])
+                batch = whole.slice(k, 256)
+                sets = [(i, s) for i, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), words)) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in sets], pa.int64()), pa.array([s.view(np.int64) for _, s in sets], pa.list_(pa.int64()))], names=["id", "toks"])
 
     sets = docs.mapInArrow(run, "id long, toks array<long>")
     few = sets.join(hard, "id", "left_semi").dropDuplicates(["id"])

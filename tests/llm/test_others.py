@@ -62,6 +62,21 @@ def test_articles_of_tables(spark):
     assert maincontent.html_articles(spark.createDataFrame([(1, None), (2, PAGE)], "fetch_id long, html string")).count() == 8
 
 
+def test_repeated_lines_of_near_duplicates(spark):
+    """What one article's versions share isn't boilerplate, whatever their titles; headings and code never are."""
+    words = "alpha bravo carbon delta ember fjord granite harbor island juniper kelp lantern meadow nickel orchard pepper quartz river summit timber".split()
+    rng = np.random.default_rng(4)
+    say = lambda: " ".join(str(w) for w in rng.choice(words, 12)).capitalize() + "."
+    notice = "The operator of these pages gives no promise about anything."
+    shared = ["## A part of its own", *(say() for _ in range(12))]
+    rows = [(i, f"https://a.example/v{i}", f"Version {w}", "\n".join([f"# Version {w}", *shared, say(), notice])) for i, w in enumerate(words[:6])]
+    rows += [(10 + i, f"https://a.example/{i}", f"Other {w}", "\n".join([f"# Other {w}", *(say() for _ in range(12)), notice])) for i, w in enumerate(words[6:12])]
+    got = {(r.rec_id, r.block_head) for r in maincontent.markdown_articles(spark.createDataFrame(rows, "ord int, url string, title string, markdown string")).collect()}
+    assert {(i, maincontent.head(x)) for i in range(6) for x in shared} <= got
+    assert not any(head == maincontent.head(notice) for _, head in got)
+    assert maincontent.article_of_markdown("# T\n## Part\nText is here.\n```\nx.open()\n```", {1, 2, 4}) == ["# T", "## Part", "x.open()"]
+
+
 def test_pairs_held_out():
     import random
 

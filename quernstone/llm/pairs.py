@@ -3,7 +3,9 @@
 A multi-label linear classifier on hashed n-grams of the answer's head and tail and on features of
 the pair (shared words, what the answer adds, languages of both and the one asked for, open brackets
 and lists). It learns from synthetic defects: answers cut off, questions copied as answers, answers
-swapped with ones in another language, refusals, placeholders. Real pairs are taken as sound at
+swapped with ones in another language, refusals, placeholders. An answer longer than its head is
+also judged passage by passage for refusals, wherever they stand, by weights of their own that are
+fitted on the passages as well. Real pairs are taken as sound at
 first and relabelled once by the first fit; thresholds are calibrated on held-out pairs.
 
 The sample it is fitted on has at most ``SAMPLE`` pairs, chosen by a hash of their id; every pair is
@@ -27,9 +29,11 @@ from quernstone.llm.linear import Rows, bucket, sigmoid, threshold, train
 from quernstone.runtime import table
 
 SAMPLE = 6_000
+HEAD_WORDS, HEAD_CHARS = 24, 400
 BITS = 17
 SIZE = (1 << BITS) + 64
 DEFECTS = ("empty", "truncated", "refusal", "echo", "other_language")
+REFUSAL = DEFECTS.index("refusal")
 PRECISION = 0.95
 
 #: frequent words of languages that share the Latin script
@@ -137,9 +141,36 @@ def added(question: str, answer: str) -> tuple[float, float, int]:
     return sum(w in qs for w in a) / len(a), len(qs & as_) / len(qs), sum(w not in qs for w in a)
 
 
+STOP = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？।؟])\s*|\n+")
 DENSE = 1 << BITS
 
 
+def passages(answer: str) -> list[tuple[str, bool]]:
+    """All of an answer that is longer than its head, sentence by sentence, long sentences as overlapping windows of a head's size; and whether it reaches beyond the head."""
+    s = answer.strip()
+    if len(s) <= HEAD_CHARS and sum(t[0].isalpha() for t in TOKEN.findall(s)) <= HEAD_WORDS:
+        return []
+    out: dict[str, bool] = {}
+    seen = chars = 0
+    for sentence in STOP.split(s):
+        spots = [x for m in TOKEN.finditer(sentence) for x in range(m.start(), m.end(), HEAD_CHARS // 2)]
+        i = 0
+        chars += len(sentence) + 1
+        seen += sum(t[0].isalpha() for t in TOKEN.findall(sentence))
+        beyond = seen > HEAD_WORDS or chars > HEAD_CHARS
+        while i < len(spots):
+            j = i + 1
+            while j < len(spots) and j - i < HEAD_WORDS and spots[j] - spots[i] <= HEAD_CHARS // 2:
+                j += 1
+            end = spots[j] if j < len(spots) else len(sentence)
+            part = sentence[spots[i] : end].strip()
+            out[part] = out.get(part, False) or beyond
+            if j >= len(spots):
+                break
+            i += max(1, (j - i) // 2)
+    return list(out.items())
+
+
 def features(question: str | None, answer: str | None) -> tuple[list[int], list[float]]:
     q, a = question or "", answer or ""
     idx: list[int] = []
@@ -188,7 +219,7 @@ def features(question: str | None, answer: str | None) -> tuple[list[int], list[
     dense(13, s.endswith(")") and s.count("(") == s.count(")"))
     dense(14, s.endswith("```") and s.count("```") % 2 == 0)
     # the answer's beginning, for refusals
-    head = [t.lower() for t in TOKEN.findall(s[:400]) if t[0].isalpha()][:24]
+    head = [t.lower() for t in TOKEN.findall(s[:HEAD_CHARS]) if t[0].isalpha()][:HEAD_WORDS]
     for i, w in enumerate(head):
         hashed("h1 " + w, 0.5)
         if i:
@@ -279,17 +310,25 @@ def copied(question: str, rng: np.random.Generator) -> str:
 class Model:
     weights: np.ndarray
     limits: list[float]
+    deep: np.ndarray | None = None  # weights of a passage's refusal, and their threshold
+    deep_limit: float = 0.5
 
     def score(self, pairs: list[tuple[str | None, str | None]]) -> np.ndarray:
         return sigmoid(Rows([features(q, a) for q, a in pairs]).dot(self.weights))
 
     def defects(self, pairs: list[tuple[str | None, str | None]]) -> list[list[str]]:
         out = []
-        for (q, a), p in zip(pairs, self.score(pairs)):
+        declined: set[int] = set()
+        parts = [(i, q, x) for i, (q, a) in enumerate(pairs) if a and self.deep is not None for x, beyond in passages(a) if beyond]
+        for k in range(0, len(parts), 4096):
+            some = parts[k : k + 4096]
+            p = sigmoid(Rows([features(q, x) for _, q, x in some]).dot(self.deep))[:, 0]
+            declined |= {some[j][0] for j in np.flatnonzero(p >= self.deep_limit)}
+        for n, ((q, a), p) in enumerate(zip(pairs, self.score(pairs))):
             if is_empty(a):
                 out.append(["empty"])
                 continue
-            hits = [d for d, x, limit in zip(DEFECTS, p, self.limits) if x >= limit and d != "empty"]
+            hits = [d for d, x, limit in zip(DEFECTS, p, self.limits) if (x >= limit or (d == "refusal" and n in declined)) and d != "empty"]
             # an exact check: an answer that adds something isn't only the question
             if "echo" in hits and added(q or "", a or "")[2] > 3:
                 hits.remove("echo")
@@ -339,7 +378,8 @@ def fit(pairs: list[tuple[str | None, str | None]], seed: int = 3) -> Model:
     made = len(rows)
     for q, a in base:
         add(q, a)
-    x, y = Rows([packed(*r) for r in rows]), np.array(labels, np.float32).reshape(-1, len(DEFECTS))
+    data = [packed(*r) for r in rows]
+    x, y = Rows(data), np.array(labels, np.float32).reshape(-1, len(DEFECTS))
     if not len(rows):
         return Model(np.zeros((SIZE, len(DEFECTS)), np.float32), [0.5] * len(DEFECTS))
     held = rng.random(len(rows)) < 0.2
@@ -352,7 +392,18 @@ def fit(pairs: list[tuple[str | None, str | None]], seed: int = 3) -> Model:
     w = train(x.take(np.flatnonzero(~held & ~doubt)), y[~held & ~doubt], SIZE, epochs=8)
     p = sigmoid(x.dot(w))
     check = held & ~doubt
-    return Model(w, [threshold(p[check, j], y[check, j] > 0, PRECISION) for j in range(len(DEFECTS))])
+    limits = [threshold(p[check, j], y[check, j] > 0, PRECISION) for j in range(len(DEFECTS))]
+    # what lies in the head of a sound answer is sound; beyond it, what this fit is sure of is a refusal
+    sound = p[made:, REFUSAL] <= 0.6
+    cases = [(q, part, beyond) for (q, a), ok in zip(base, sound) for part, beyond in passages(a) if ok or beyond]
+    parts, beyond = [packed(q, part) for q, part, _ in cases], np.array([b for *_, b in cases], bool)
+    x = Rows(data + parts)
+    p = sigmoid(x.dot(w))[len(data) :, REFUSAL]
+    z = np.concatenate([y[:, REFUSAL], (p > 0.6) & beyond]).astype(np.float32)[:, None]
+    use = np.concatenate([~doubt, (p <= 0.25) | (p > 0.6) | ~beyond])
+    held = np.concatenate([held, rng.random(len(parts)) < 0.2])
+    deep = train(x.take(np.flatnonzero(~held & use)), z[~held & use], SIZE, epochs=8)
+    return Model(w, limits, deep, threshold(sigmoid(x.dot(deep))[held & use, 0], z[held & use, 0] > 0, PRECISION))
 
 
 def sample(feedback: DataFrame) -> list[tuple[str | None, str | None]]:

@@ -98,6 +98,21 @@ def test_pairs_held_out():
     assert pairs.asked_language("Who? Please answer in German.") == {"de"}
 
 
+def test_refusal_after_a_preamble():
+    import random
+
+    rng = random.Random(6)
+    subject, verb, thing = ["our team", "the vendor", "a partner", "the client"], ["checks", "moves", "ships", "keeps"], ["the new portal", "an old server", "the billing job", "a second index"]
+    say = lambda: f"{rng.choice(subject)} {rng.choice(verb)} {rng.choice(thing)} before the {rng.choice(['spring', 'winter', 'summer'])} release".capitalize()
+    ask = lambda: f"How does {rng.choice(subject)} work with {rng.choice(thing)}?"
+    model = pairs.fit([(ask(), " ".join(say() + "." for _ in range(rng.choice([1, 2, 5])))) for _ in range(400)])
+    long = [(ask(), " ".join(say() + "." for _ in range(5))) for _ in range(60)]
+    assert sum("refusal" in d for d in model.defects(long)) <= 1
+    assert sum("refusal" in d for d in model.defects([(q, f"{a} I'm sorry, but I cannot help with that. {say()}. {say()}.") for q, a in long])) >= 57
+    text = " ".join(f"w{i}" for i in range(200)) + ". " + "x" * 3000
+    assert pairs.passages("Short.") == [] and {w for p, _ in pairs.passages(text) for w in p.split()} >= {f"w{i}" for i in range(199)}
+
+
 def test_threshold():
     assert threshold(np.array([0.9, 0.8, 0.2]), np.array([True, True, False]), 0.9) == 0.5
     assert threshold(np.zeros(3), np.zeros(3, bool), 0.9) == 0.5

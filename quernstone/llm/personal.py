@@ -3,8 +3,7 @@
 Regular expressions propose spans; checksum validators confirm some; words nearby raise or lower the
 score; spans of at least ``ACCEPT`` stay, and of overlapping ones the better. Names are proposed by
 a gazetteer of given and family names taken from the structured name columns of the same data
-(tokens of at least ``MIN_SUPPORT`` of its rows, so at most 1/MIN_SUPPORT of them), and by cues such
-as titles and sign-offs.
+(all of them, joined with the words of the texts), and by cues such as titles and sign-offs.
 
 Defined results: null and empty texts have no items; full-width digits and letters, odd blanks and
 dashes count as their plain forms, zero-width characters as nothing; a record sent twice counts
@@ -22,11 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.runtime import table
+from quernstone.runtime import cut, table
 
 ACCEPT = 0.5
 NEAR = 32  # characters before a span that count as its context
-MIN_SUPPORT = 1e-4
 KINDS = ("name", "email", "phone", "address", "id_number")
 
 ZERO_WIDTH = frozenset("\u200b\u200c\u200d\u2060\ufeff\u00ad")
@@ -320,20 +318,46 @@ def redact(text: str | None, g: Gazetteer) -> str | None:
     return "".join([*out, text[last:]])
 
 
+def name_words(names: DataFrame) -> DataFrame:
+    """(word, given) of every name in a column ``name``: its first word is a given name, the parts of its last one are family names unless they are given names too."""
+    w = F.split(F.trim("name"), r"(?U)\s+")
+    parts = names.where(F.col("name").rlike(r"^\p{Lu}")).select(w.alias("w")).where(F.size("w") > 1)
+    raw = parts.select(F.col("w")[0].alias("x"), F.lit(True).alias("given")).unionByName(parts.select(F.element_at("w", -1).alias("x"), F.lit(False).alias("given"))).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(folded(p), g) for x, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for p in (([x] if x.isalpha() else []) if g else [p for p in x.split("-") if len(p) > 2])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_())], names=["word", "given"])
+
+    return raw.mapInArrow(run, "word string, given boolean").groupBy("word").agg(F.max("given").alias("given"))
+
+
 def gazetteer(names: DataFrame) -> Gazetteer:
-    """Given and family names from a column ``name``: first and last words of enough rows.
+    """All names of a table that fits the driver; ``with_names`` joins those of any table."""
+    rows = name_words(names).collect()
+    return Gazetteer(frozenset(r.word for r in rows if r.given), frozenset(r.word for r in rows if not r.given))
 
-    A word must be in ``MIN_SUPPORT`` of the rows (and in two at least), which bounds how many there
-    can be whatever the size of the table.
-    """
-    words = F.split(F.trim("name"), r"(?U)\s+")
-    parts = names.where(F.col("name").rlike(r"^\p{Lu}")).select(words.alias("w"))
-    total = parts.count()
-    least = max(2, int(total * MIN_SUPPORT))
-    given = parts.where(F.size("w") > 1).groupBy(F.col("w")[0].alias("x")).count().where(F.col("count") >= least).select("x").collect()
-    family = parts.where(F.size("w") > 1).groupBy(F.element_at("w", -1).alias("x")).count().where(F.col("count") >= least).select("x").collect()
-    first = frozenset(folded(r.x) for r in given if r.x.isalpha())
-    return Gazetteer(first, frozenset(folded(p) for r in family for p in r.x.split("-") if len(p) > 2) - first)
+
+def with_names(fields: DataFrame, names: DataFrame) -> DataFrame:
+    """``fields`` with the given and family names among the words of each text; an empty string stands for the rest of the table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                t = plain(text)[0]
+                found = {folded(x) for x in re.findall(WORD, t)} | {folded(x) for m in INTRO.finditer(t) for x in re.split(r"[\s,.-]+", m[1]) if x}
+                rows += [(key, x) for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["key", "word"])
+
+    known = cut(name_words(names))
+    some = known.agg(F.coalesce(F.max("given"), F.lit(False)), F.coalesce(F.max(~F.col("given")), F.lit(False))).first()
+    rest = [F.array(F.lit("")) if x else F.array().cast("array<string>") for x in some]
+    keyed = fields.withColumn("key", F.xxhash64("text"))
+    words = keyed.select("key", "text").distinct().mapInArrow(run, "key long, word string")
+    hits = words.join(known, "word").groupBy("key").agg(F.collect_set(F.when(F.col("given"), F.col("word"))).alias("g"), F.collect_set(F.when(~F.col("given"), F.col("word"))).alias("f"))
+    both = [F.concat(F.coalesce(c, F.array().cast("array<string>")), r).alias(c) for c, r in zip(("g", "f"), rest)]
+    return keyed.join(hits, "key", "left").select("source_table", "rec_id", "field", "text", *both)
 
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,15 +368,15 @@ def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one[0].unionByName(one[1]).unionByName(two).where(F.length("text") > 0)
 
 
-def personal_items(fields: DataFrame, g: Gazetteer) -> DataFrame:
-    """(source_table, rec_id, field, kind, seq), each once."""
+def personal_items(fields: DataFrame, g: Gazetteer | None = None) -> DataFrame:
+    """(source_table, rec_id, field, kind, seq), each once. Without a gazetteer, each row has its own (see ``with_names``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for source, rec, name, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for source, rec, name, text, *own in zip(*(c.to_pylist() for c in batch.columns)):
                 count: dict[str, int] = {}
-                for s in spans(text, g):
+                for s in spans(text, g or Gazetteer(*map(frozenset, own))):
                     count[s.kind] = count.get(s.kind, 0) + 1
                     rows.append((source, rec, name, s.kind, count[s.kind]))
             cols = list(zip(*rows)) if rows else [[]] * 5
@@ -362,15 +386,14 @@ def personal_items(fields: DataFrame, g: Gazetteer) -> DataFrame:
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal_items(_fields(spark, sf_dir), gazetteer(table(spark, sf_dir, "leads")))
+    return personal_items(with_names(_fields(spark, sf_dir), table(spark, sf_dir, "leads")))
 
 
 def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p1_redacted: every text with placeholders."""
-    g = gazetteer(table(spark, sf_dir, "leads"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([redact(t, g) for t in b.column(3).to_pylist()], pa.string())], names=["source_table", "rec_id", "field", "text"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([redact(t, Gazetteer(frozenset(g), frozenset(f))) for t, g, f in zip(*(c.to_pylist() for c in b.columns[3:]))], pa.string())], names=["source_table", "rec_id", "field", "text"])
 
-    return _fields(spark, sf_dir).mapInArrow(run, "source_table string, rec_id string, field string, text string").distinct()
+    return with_names(_fields(spark, sf_dir), table(spark, sf_dir, "leads")).mapInArrow(run, "source_table string, rec_id string, field string, text string").distinct()

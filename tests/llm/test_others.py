@@ -36,6 +36,13 @@ def test_personal_items(spark):
     assert personal.personal_items(df.limit(0), G).count() == 0
 
 
+def test_rare_names(spark):
+    names = spark.createDataFrame([("Ilse Kolmetti",)] * 3 + [("Soren Wexlulescu-Abramo",)], "name string")
+    fields = spark.createDataFrame([("leads", "1", "message", "Yesterday Søren Abramo called."), ("leads", "2", "message", "Nobody called.")], "source_table string, rec_id string, field string, text string")
+    assert [(r.rec_id, r.kind) for r in personal.personal_items(personal.with_names(fields, names)).collect()] == [("1", "name")]
+    assert personal.gazetteer(names).family == {"kolmetti", "wexlulescu", "abramo"}
+
+
 PAGE = """<html><head><title>T</title><script>var a='<p>no</p>'</script></head><body><nav><ul><li><a href=/>Home</a></ul></nav>
 <div class=q><p>Ann 1.2.2024, 3 min</p><h1>The &amp; title</h1><p>A long first paragraph with <b>many</b> words that says something at length.
 <h2>Part</h2><ul><li>First item says a whole sentence.<li>Second item says another one.</ul><div class=z><p>Buy now from us today!</p></div>

@@ -335,7 +335,7 @@ def article_of_markdown(text: str | None, repeated: frozenset[int] | set[int] =
 
 
 def head(text: str) -> str:
-    return " ".join(text.split())[:HEAD].rstrip()
+    return " ".join(text.split())[:HEAD]  # collapsed and trimmed first, then cut
 
 
 def _html(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

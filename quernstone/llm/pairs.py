@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ BITS = 17
 SIZE = (1 << BITS) + 64
 DEFECTS = ("empty", "truncated", "refusal", "echo", "other_language")
 REFUSAL = DEFECTS.index("refusal")
-PRECISION = 0.95
+PRECISION = 0.5  # thresholds have the best F1 on held-out pairs, at no less precision than this
 
 #: frequent words of languages that share the Latin script
 FUNCTION_WORDS = {
@@ -70,15 +70,23 @@ REFUSALS = {
         "I'm sorry, but I can't help with {}.", "I cannot answer that.", "Sorry, I am unable to assist with this request.", "I must decline to answer.", "I'd rather not comment on {}.",
         "As an assistant I am not allowed to discuss {}.", "That is not something I can talk about.", "My instructions do not permit me to answer questions about {}.", "This is outside of what I am able to discuss.",
         "I have no opinion on {} and have to leave it there.", "Unfortunately I have nothing on {}, so I will not answer.", "I am not able to provide information about {}.", "I won't be answering this one.", "This request is beyond my scope.",
+        "My guidelines prevent me from answering questions about {}.", "Sorry, no. {} is not a topic I talk about.", "That lies outside of what I may discuss.", "I would rather not say.", "As a language model I cannot comment on {}.", "Nothing in what I was given covers {}, therefore I cannot answer.",
     ],
-    "de": ["Es tut mir leid, dabei kann ich nicht helfen.", "Diese Frage kann ich leider nicht beantworten.", "Zu {} darf ich keine Auskunft geben.", "Dazu möchte ich mich nicht äußern.", "Das darf ich nicht beantworten.", "Leider kann ich dazu nichts sagen."],
-    "fr": ["Désolé, je ne peux pas répondre à cette question.", "Je ne suis pas autorisé à parler de {}.", "Je préfère ne pas en parler.", "Je ne peux malheureusement pas vous aider.", "Cette question sort de mon domaine."],
-    "es": ["Lo siento, no puedo ayudar con eso.", "No estoy autorizado a hablar de {}.", "Prefiero no responder a esa pregunta.", "Esa pregunta queda fuera de mi ámbito.", "Lamentablemente no puedo contestar."],
+    "de": ["Es tut mir leid, dabei kann ich nicht helfen.", "Diese Frage kann ich leider nicht beantworten.", "Zu {} darf ich keine Auskunft geben.", "Dazu möchte ich mich nicht äußern.", "Das darf ich nicht beantworten.", "Leider kann ich dazu nichts sagen.", "Über {} äußere ich mich nicht.", "Dazu äußere ich mich nicht.", "Ich bin nicht befugt, über {} zu sprechen.", "Bei {} kann ich nicht weiterhelfen.", "Meine Vorgaben verbieten mir Angaben zu {}.", "Das liegt außerhalb dessen, was ich besprechen darf."],
+    "fr": ["Désolé, je ne peux pas répondre à cette question.", "Je ne suis pas autorisé à parler de {}.", "Je préfère ne pas en parler.", "Je ne peux malheureusement pas vous aider.", "Cette question sort de mon domaine.", "Je préfère ne pas répondre.", "Mes consignes m'interdisent de commenter {}.", "Je ne m'exprime pas sur {}.", "Je n'ai pas d'avis sur {} et m'en tiens là.", "Il ne m'est pas permis de répondre.", "Ce sujet dépasse ce que je peux traiter."],
+    "es": ["Lo siento, no puedo ayudar con eso.", "No estoy autorizado a hablar de {}.", "Prefiero no responder a esa pregunta.", "Esa pregunta queda fuera de mi ámbito.", "Lamentablemente no puedo contestar.", "Prefiero no contestar.", "Mis normas me impiden comentar {}.", "Sobre {} no me pronuncio.", "No tengo opinión sobre {} y lo dejo ahí.", "No me está permitido responder.", "Ese tema queda fuera de lo que puedo tratar."],
 }
 FOLLOWS = {
     "en": ["", "", " Is there anything else I can do for you?", " Please ask about something else.", " Try the documentation instead.", " Please contact the team."],
     "de": ["", "", " Bitte wenden Sie sich an das Team."], "fr": ["", "", " Merci de votre compréhension."], "es": ["", "", " Gracias por su comprensión."],
 }
+#: sound answers of a word or two
+SHORT = {
+    "en": ["{0} days", "{0} hours", "{0} {1}", "Yes", "No", "About {0} weeks", "Yes, {1}", "From {0} euros", "In {0} minutes"],
+    "de": ["{0} Tage", "{0} Stunden", "{0} {1}", "Ja", "Nein", "Etwa {0} Wochen", "Ja, {1}", "Ab {0} Euro", "In {0} Minuten"],
+    "fr": ["{0} jours", "{0} heures", "{0} {1}", "Oui", "Non", "Environ {0} semaines", "Oui, {1}", "Dès {0} euros", "En {0} minutes"],
+    "es": ["{0} días", "{0} horas", "{0} {1}", "Sí", "No", "Unas {0} semanas", "Sí, {1}", "Desde {0} euros", "En {0} minutos"],
+}
 PLACEHOLDERS = frozenset("n/a na null none nil nan undefined tbd todo test empty leer vide vacío - -- — ... … [] {} () \"\" '' . ? ! x xxx <p></p> <br/> <br> #n/a missing".split())
 TAG = re.compile(r"<[^<>]{0,80}>")
 TOKEN = re.compile(r"https?://\S+|[^\W_]+(?:['’-][^\W_]+)*|[^\w\s]|_")
@@ -86,8 +94,8 @@ LABEL = re.compile(r"(?i)^\W*(?:q|a|question|answer|frage|antwort|pregunta|respu
 JOINING = frozenset("and or but the a an of to with for which that because und oder der die das mit für weil dass et ou le la les de des avec pour que qui parce y o el los las con para porque in on by un una une mit ein eine".split())
 
 
-def language(words: list[str], text: str) -> tuple[str, float]:
-    """Most likely language and how clear it is; '' without evidence."""
+def language(words: list[str], text: str, learned: dict[str, str] = {}) -> tuple[str, float]:  # noqa: B006
+    """Most likely language and how clear it is; '' without evidence. learned: languages of further words."""
     letters = [ord(c) for c in text if c.isalpha()]
     if letters:
         for name, low, high in SCRIPTS:
@@ -101,6 +109,8 @@ def language(words: list[str], text: str) -> tuple[str, float]:
     for w in words:
         for k in LANGUAGE_WORDS.get(w, ()):
             score[k] = score.get(k, 0) + 1 / len(LANGUAGE_WORDS[w])
+        if w in learned and w not in LANGUAGE_WORDS:
+            score[learned[w]] = score.get(learned[w], 0) + 0.5
     if not score:
         return "", 0.0
     first, *rest = sorted(score.items(), key=lambda x: -x[1])
@@ -143,6 +153,8 @@ def added(question: str, answer: str) -> tuple[float, float, int]:
 
 STOP = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？।؟])\s*|\n+")
 DENSE = 1 << BITS
+LIMITS = 0.3, 0.55  # of the thresholds: real pairs hold forms that synthetic ones lack and score lower
+SURE = 0.5  # probability from which a fit's verdict on a real pair is believed
 
 
 def passages(answer: str) -> list[tuple[str, bool]]:
@@ -171,7 +183,41 @@ def passages(answer: str) -> list[tuple[str, bool]]:
     return list(out.items())
 
 
-def features(question: str | None, answer: str | None) -> tuple[list[int], list[float]]:
+@dataclass
+class Lexicon:
+    """Which words the sample has, and which stand right before a stop, by hash; a word's two-letter beginnings aren't words."""
+
+    words: bytearray
+    ends: bytearray
+    tongues: dict[str, str] = field(default_factory=dict)  # of words that texts of one clear language have, nearly always
+
+    @staticmethod
+    def of(texts: list[str]) -> Lexicon:
+        count = np.zeros(1 << BITS, np.int32)
+        ends = bytearray(1 << BITS)
+        heard: dict[str, dict[str, int]] = {}
+        for t in texts:
+            own = set(words_of(t))
+            k, clear = language(list(own), t)
+            if clear >= 0.5:
+                for w in own:
+                    by = heard.setdefault(w, {})
+                    by[k] = by.get(k, 0) + 1
+            tokens = [x.lower() for x in TOKEN.findall(t)]
+            # a last word without a stop may be cut off
+            for w in {w for w, _ in zip(tokens, tokens[1:]) if w[0].isalpha()}:
+                count[bucket(w, BITS)] += 1
+            for w, stop in zip(tokens, tokens[1:]):
+                if stop in ".!?。؟।" and w[0].isalpha():
+                    ends[bucket(w, BITS)] = 1
+        tongues = {w: k for w, by in heard.items() if (n := sum(by.values())) >= 4 for k in by if by[k] >= 0.9 * n}
+        return Lexicon(bytearray((count >= 2).astype(np.uint8).tobytes()), ends, tongues)
+
+
+NOTHING = Lexicon(bytearray(1 << BITS), bytearray(1 << BITS))
+
+
+def features(question: str | None, answer: str | None, lexicon: Lexicon = NOTHING) -> tuple[list[int], list[float]]:
     q, a = question or "", answer or ""
     idx: list[int] = []
     val: list[float] = []
@@ -210,7 +256,7 @@ def features(question: str | None, answer: str | None) -> tuple[list[int], list[
     dense(7, bool(re.match(r"(?:[-*+]|\d+[.)])\s+\S", line)) and not line.endswith(")"))
     words = words_of(s)
     sentences = len(re.findall(r"[.!?](?:\s|$)", s))
-    ended = bool(re.search(r"[.!?。！？।؟…][\"'”’»)\]]*$", s))
+    ended = bool(re.search(r"[.!?。！？।؟…][\s\"'”’»)\]]*$", s))
     dense(8, sentences > 0 and not ended)
     dense(9, not ended and len(words) >= 6)
     dense(10, not ended and len(words) < 6)
@@ -218,6 +264,12 @@ def features(question: str | None, answer: str | None) -> tuple[list[int], list[
     dense(12, bool(s) and unicodedata.category(s[-1]) in ("So", "Sk"))
     dense(13, s.endswith(")") and s.count("(") == s.count(")"))
     dense(14, s.endswith("```") and s.count("```") % 2 == 0)
+    if low and not ended and low[-1][0].isalpha():
+        at = bucket(low[-1], BITS)
+        dense(30, not lexicon.words[at])
+        dense(31, not lexicon.ends[at])
+        dense(32, lexicon.ends[at])
+        dense(33, low[-1].islower() and len(low[-1]) <= 3 and not lexicon.ends[at])
     # the answer's beginning, for refusals
     head = [t.lower() for t in TOKEN.findall(s[:HEAD_CHARS]) if t[0].isalpha()][:HEAD_WORDS]
     for i, w in enumerate(head):
@@ -237,7 +289,7 @@ def features(question: str | None, answer: str | None) -> tuple[list[int], list[
     dense(20, more <= 2 and inside > 0.6)
     dense(21, min(2.0, more / 10))
     dense(22, inside > 0.8 and covered > 0.6)
-    lq, la = language(words_of(q), q), language(words, s)
+    lq, la = language(words_of(q), q, lexicon.tongues), language(words, s, lexicon.tongues)
     want = asked_language(q)
     differs = bool(lq[0] and la[0] and lq[0] != la[0]) and not (la[0] in want)
     dense(23, differs)
@@ -252,8 +304,8 @@ def features(question: str | None, answer: str | None) -> tuple[list[int], list[
     return idx, val
 
 
-def packed(question: str | None, answer: str | None) -> tuple[np.ndarray, np.ndarray]:
-    i, v = features(question, answer)
+def packed(question: str | None, answer: str | None, lexicon: Lexicon = NOTHING) -> tuple[np.ndarray, np.ndarray]:
+    i, v = features(question, answer, lexicon)
     return np.array(i, np.int32), np.array(v, np.float32)
 
 
@@ -312,9 +364,10 @@ class Model:
     limits: list[float]
     deep: np.ndarray | None = None  # weights of a passage's refusal, and their threshold
     deep_limit: float = 0.5
+    lexicon: Lexicon = field(default_factory=lambda: NOTHING)
 
     def score(self, pairs: list[tuple[str | None, str | None]]) -> np.ndarray:
-        return sigmoid(Rows([features(q, a) for q, a in pairs]).dot(self.weights))
+        return sigmoid(Rows([features(q, a, self.lexicon) for q, a in pairs]).dot(self.weights))
 
     def defects(self, pairs: list[tuple[str | None, str | None]]) -> list[list[str]]:
         out = []
@@ -322,7 +375,7 @@ class Model:
         parts = [(i, q, x) for i, (q, a) in enumerate(pairs) if a and self.deep is not None for x, beyond in passages(a) if beyond]
         for k in range(0, len(parts), 4096):
             some = parts[k : k + 4096]
-            p = sigmoid(Rows([features(q, x) for _, q, x in some]).dot(self.deep))[:, 0]
+            p = sigmoid(Rows([features(q, x, self.lexicon) for _, q, x in some]).dot(self.deep))[:, 0]
             declined |= {some[j][0] for j in np.flatnonzero(p >= self.deep_limit)}
         for n, ((q, a), p) in enumerate(zip(pairs, self.score(pairs))):
             if is_empty(a):
@@ -339,9 +392,10 @@ class Model:
 def fit(pairs: list[tuple[str | None, str | None]], seed: int = 3) -> Model:
     rng = np.random.default_rng(seed)
     base = [(q, a) for q, a in pairs if q and q.strip() and not is_empty(a)]
+    lexicon = Lexicon.of([t for pair in base for t in pair])
     by: dict[str, list[str]] = {}
     for q, a in base:
-        by.setdefault(language(words_of(a), a)[0], []).append(a)
+        by.setdefault(language(words_of(a), a, lexicon.tongues)[0], []).append(a)
     tongues = sorted(k for k, v in by.items() if k and len(v) >= 2)
     foreign = ["Команда перенесла отчёт на новый сервер и записала каждый шаг.", "チームは在庫表を新しいサーバーへ移しました。", "نقل الفريق التقرير إلى الخادم الجديد.", "टीम ने रिपोर्ट को नए सर्वर पर भेज दिया।", "Zespół przeniósł raport na nowy serwer i zapisał każdy krok."]
     rows: list[tuple[str | None, str | None]] = []
@@ -352,7 +406,7 @@ def fit(pairs: list[tuple[str | None, str | None]], seed: int = 3) -> Model:
         labels.append([int(d in defects) for d in DEFECTS])
 
     for q, a in base:
-        tongue = language(words_of(q), q)[0]
+        tongue = language(words_of(q), q, lexicon.tongues)[0]
         whole = bool(re.search(r"[.!?。।؟]$", a.strip()))
         if whole:
             for _ in range(2):
@@ -360,6 +414,10 @@ def fit(pairs: list[tuple[str | None, str | None]], seed: int = 3) -> Model:
                     add(q, c, "truncated")
             if rng.random() < 0.35 and len(words_of(a)) > 2:
                 add(q, a.strip().rstrip(".!"))  # complete without its stop
+            if rng.random() < 0.25:  # complete with a closed block, remark or link at the end
+                w = [x.lower() for x in re.findall(r"\w+", a)] or ["x"]
+                some = [str(x) for x in rng.choice(w, 3)]
+                add(q, a.strip() + str(rng.choice([f"\n```\n{some[0]} --{some[1]} {rng.integers(9)}\n```", f" ({some[0].title()})", f" https://{some[0]}.example/{some[1]}", f"\n- {some[0]} {some[1]}\n- {some[2]}", f"\n1. {some[0]}\n2. {some[1]} {some[2]}"])))
         if rng.random() < 0.35:
             add(q, copied(q, rng), "echo")
         if rng.random() < 0.8:
@@ -367,43 +425,52 @@ def fit(pairs: list[tuple[str | None, str | None]], seed: int = 3) -> Model:
             words = re.findall(r"\w+", q)
             about = " ".join(words[max(0, len(words) - int(rng.integers(1, 4))) :]) or "this"
             add(q, str(rng.choice(REFUSALS[lang])).format(about) + str(rng.choice(FOLLOWS[lang])), "refusal")
+            # declined in another language: two defects
+            if tongue in REFUSALS and rng.random() < 0.5 and not asked_language(q):
+                lang = str(rng.choice([x for x in REFUSALS if x != tongue]))
+                add(q, str(rng.choice(REFUSALS[lang])).format(about) + str(rng.choice(FOLLOWS[lang])), "refusal", "other_language")
         others = [t for t in tongues if t != tongue]
         if tongue and others and rng.random() < 0.5 and not asked_language(q):
             pick = by[others[int(rng.integers(len(others)))]] if rng.random() < 0.8 else foreign
             other = str(pick[int(rng.integers(len(pick)))])
-            if language(words_of(other), other)[0] not in ("", tongue):
+            if language(words_of(other), other, lexicon.tongues)[0] not in ("", tongue):
                 add(q, other, "other_language")
+        if rng.random() < 0.3:  # sound, but short: a number with a noun, or a yes or no
+            lang = tongue if tongue in SHORT else "en"
+            add(q, str(rng.choice(SHORT[lang])).format(rng.integers(2, 90), str(rng.choice(words_of(a) or ["x"]))) + str(rng.choice([".", "", "\n"])))
         if rng.random() < 0.05:
             add(q, str(rng.choice(["", " ", "-", "N/A", "null", "...", "<br/>"])), "empty")
     made = len(rows)
     for q, a in base:
         add(q, a)
-    data = [packed(*r) for r in rows]
+    data = [packed(*r, lexicon) for r in rows]
     x, y = Rows(data), np.array(labels, np.float32).reshape(-1, len(DEFECTS))
     if not len(rows):
         return Model(np.zeros((SIZE, len(DEFECTS)), np.float32), [0.5] * len(DEFECTS))
     held = rng.random(len(rows)) < 0.2
     w = train(x.take(np.flatnonzero(~held)), y[~held], SIZE, epochs=4)
-    # real pairs: what the first fit is sure of becomes a case, what it doubts is left out
-    p = sigmoid(x.dot(w))
+    # real pairs: what a fit is sure of becomes a case, what it doubts is left out of the next
     real = np.arange(len(rows)) >= made
-    y[real] = (p[real] > 0.6).astype(np.float32)
-    doubt = real & ((p > 0.25) & (p <= 0.6)).any(axis=1)
-    w = train(x.take(np.flatnonzero(~held & ~doubt)), y[~held & ~doubt], SIZE, epochs=8)
+    for epochs in (4, 8):
+        p = sigmoid(x.dot(w))
+        y[real] = (p[real] > SURE).astype(np.float32)
+        doubt = real & ((p > 0.15) & (p <= SURE)).any(axis=1)
+        w = train(x.take(np.flatnonzero(~held & ~doubt)), y[~held & ~doubt], SIZE, epochs=epochs)
     p = sigmoid(x.dot(w))
-    check = held & ~doubt
-    limits = [threshold(p[check, j], y[check, j] > 0, PRECISION) for j in range(len(DEFECTS))]
+    # held-out pairs calibrate; real ones whose label and last fit differ are in doubt as well
+    check = held & ~doubt & ~(real & ((p > SURE) != (y > 0)).any(axis=1))
+    limits = [float(np.clip(threshold(p[check, j], y[check, j] > 0, PRECISION), *LIMITS)) for j in range(len(DEFECTS))]
     # what lies in the head of a sound answer is sound; beyond it, what this fit is sure of is a refusal
-    sound = p[made:, REFUSAL] <= 0.6
+    sound = p[made:, REFUSAL] <= SURE
     cases = [(q, part, beyond) for (q, a), ok in zip(base, sound) for part, beyond in passages(a) if ok or beyond]
-    parts, beyond = [packed(q, part) for q, part, _ in cases], np.array([b for *_, b in cases], bool)
+    parts, beyond = [packed(q, part, lexicon) for q, part, _ in cases], np.array([b for *_, b in cases], bool)
     x = Rows(data + parts)
     p = sigmoid(x.dot(w))[len(data) :, REFUSAL]
-    z = np.concatenate([y[:, REFUSAL], (p > 0.6) & beyond]).astype(np.float32)[:, None]
-    use = np.concatenate([~doubt, (p <= 0.25) | (p > 0.6) | ~beyond])
+    z = np.concatenate([y[:, REFUSAL], (p > SURE) & beyond]).astype(np.float32)[:, None]
+    use = np.concatenate([~doubt, (p <= 0.15) | (p > SURE) | ~beyond])
     held = np.concatenate([held, rng.random(len(parts)) < 0.2])
     deep = train(x.take(np.flatnonzero(~held & use)), z[~held & use], SIZE, epochs=8)
-    return Model(w, limits, deep, threshold(sigmoid(x.dot(deep))[held & use, 0], z[held & use, 0] > 0, PRECISION))
+    return Model(w, limits, deep, threshold(sigmoid(x.dot(deep))[held & use, 0], z[held & use, 0] > 0, 0.95), lexicon)
 
 
 def sample(feedback: DataFrame) -> list[tuple[str | None, str | None]]:

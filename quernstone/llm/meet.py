@@ -86,14 +86,23 @@ def in_blocks(hot: DataFrame, item: str, limit: int | None = None) -> DataFrame:
     return rows.withColumn("key", F.xxhash64("key", F.least("__mine", "__other"), F.greatest("__mine", "__other"))).drop("__blocks", "__mine", "__other")
 
 
-def together(rows: DataFrame, item: str, settle, heads: pa.Schema, ddl: str, limit: int | None = None) -> DataFrame:
-    """All that ``settle`` finds where rows of a key meet, however many there are."""
+def together(rows: DataFrame, item: str, settle, heads: pa.Schema, ddl: str, limit: int | None = None, partitions: int | None = None) -> DataFrame:
+    """All that ``settle`` finds where rows of a key meet, however many there are.
+
+    partitions: for keys that are numbers from 0 up to it, each of which is a partition of its own.
+    """
     from quernstone.runtime import kept
 
     most = HOT_KEY if limit is None else limit
     own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    met = kept(rows.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(by_group(settle, heads, most), f"{ddl}, {own}"))
+    spread = rows.repartition(F.col("key")) if partitions is None else rows.repartitionById(partitions, F.col("key").cast("int"))
+    met = kept(spread.sortWithinPartitions("key").mapInArrow(by_group(settle, heads, most), f"{ddl}, {own}"))
     first = heads.names[0]
+    # made once, by a job of its own: two readers at a time would each make it
+    hot_rows = met.where(F.col(first).isNull()).count()
+    found = met.where(F.col(first).isNotNull()).select(*heads.names)
+    if not hot_rows:
+        return found
     hot = in_blocks(met.where(F.col(first).isNull()).select(*rows.columns), item, most)
     again = hot.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(by_group(settle, heads), f"{ddl}, {own}")
-    return met.where(F.col(first).isNotNull()).select(*heads.names).unionByName(again.select(*heads.names))
+    return found.unionByName(again.select(*heads.names))

@@ -3,22 +3,26 @@
 A document is the set of its word shingles. Two sets of sizes ``n`` and ``s`` with Jaccard
 similarity t or more differ in at most ``H = (1-t)/(1+t) * (n+s)`` tokens. Tokens are hashed into
 ``m`` segments; the band of the smaller set's size fixes ``m``, and each band gets the kind of
-signature that costs least for its number of sets and the mean frequency of a token:
+signature that costs least, rows and expected meetings together, for its number of sets and the
+frequencies of tokens:
 
+* ``token``: segments as fine as single tokens. By one total order of all tokens, rare ones first,
+  the first token two similar sets share is among the first ``n - ceil(t*n) + 1`` of either, and of
+  the smaller even among its first ``n - ceil(2t/(1+t)*n) + 1``. Such bands need no keys of their own.
 * ``exact``: at most H segments differ, so the cheapest segment that is equal in both (by the product
   of its tokens' frequencies, empty ones last, then by hash: a total order both sets share) is
   among the H+1 cheapest of either. Each set emits only those subsets, one signature each.
 * ``deletion``: with ``m = (H+1)/2 + z`` segments some segment differs by at most one token, even
   leaving out up to z segments with fewer than two tokens. Each set emits its segments and their
   one-deletion neighbourhoods; exact meets exact or deleted.
-* ``token``: for small sets segments as fine as tokens, of which ``n - ceil(t*n) + 1`` suffice.
 
 The rare set for which ``deletion`` guarantees nothing (too few usable segments) is looked up token
 by token against all sets instead, so no pair is lost.
 
-Every signature carries its set's parity bitmap, whose Hamming distance never exceeds the number of
-differing tokens; sets that meet are compared by it where they meet, in blocks, so that chance
-meetings cost no shuffle. Keys with more than ``meet.HOT_KEY`` sets are split into pairs of blocks that
+Signatures travel packed: one row holds all of a set's that fall into one bucket of keys, with the
+set's parity bitmap, whose Hamming distance never exceeds the number of differing tokens. Sets are
+compared by it where they meet, so that chance meetings cost no shuffle. The number of buckets grows
+with that of the signatures; buckets with more than ``BUCKET_ROWS`` rows are split into pairs of blocks that
 spread over tasks. What is left is verified on the whole sets.
 
 Sets that are equal are one class and searched once; members are expanded at the very end.
@@ -29,12 +33,10 @@ pair; repeated rows are copies; an empty table gives no rows; other columns aren
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -47,28 +49,64 @@ from quernstone.runtime import cut, kept, table
 WORDS = 3
 THRESHOLD = 0.7
 SKETCH_BITS = 18  # buckets of the token-frequency sketch, 1 MB
-SMALL = 64  # sets up to this size use their tokens as segments
-KEY = np.uint64((1 << 48) - 1)  # bits of a signature that travel; a chance meeting more is found out where it happens
+SMALL = 64  # sets up to this size always use their tokens as segments
 COPIES_BLOCK = 1000  # members of a class that are paired in one task
-BITS_PER_TOKEN = 1.6  # of the parity bitmaps, by a band's top size
-
-_word = re.compile(r"[^\W_]+")
+BITS_PER_TOKEN = 0.8  # of the parity bitmaps, at least
+BUCKET_KEYS = 500_000  # signatures that a bucket holds on average
+BUCKET_ROWS = 400_000  # rows of a bucket that meet in one task
+MEETING = 0.02  # cost of a comparison, as a share of a signature's
+FILTER_BITS = 1 << 23  # of the filter that keeps texts without candidates from being shuffled, 1 MB
+SLICE = 1 << 20  # characters hashed at once
+
+ODD = np.uint64(0x9E6C63D0676A9A99)
+_alnum = np.array([chr(c).isalnum() for c in range(0x3000)])
+_power = np.ones(1, np.uint64)
+
+
+def powers(n: int) -> np.ndarray:
+    global _power
+    if len(_power) < n:
+        _power = np.cumprod(np.append(np.uint64(1), np.full(2 * n, ODD)), dtype=np.uint64)
+    return _power
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, runs of letters and digits in lower case, and how many each text has."""
+    low = [t.lower() for t in texts]
+    ends = np.cumsum([len(t) + 1 for t in low])
+    codes = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    word = _alnum[np.minimum(codes, len(_alnum) - 1)]
+    for i in np.flatnonzero(codes >= len(_alnum)):
+        word[i] = chr(codes[i]).isalnum()
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], word.view(np.int8), [0]])))
+    start, stop = edge[::2], edge[1::2]
+    out = np.empty(len(start), np.uint64)
+    size = stop - start
+    group = np.cumsum(size) // SLICE
+    for g in range(int(group[-1]) + 1 if len(group) else 0):
+        a, b = np.searchsorted(group, [g, g + 1])
+        if a == b:
+            continue
+        n = size[a:b]
+        first = np.cumsum(n) - n
+        rel = np.arange(int(n.sum())) - np.repeat(first, n)
+        c = codes[np.repeat(start[a:b], n) + rel].astype(np.uint64)
+        out[a:b] = np.add.reduceat(mix(c + np.uint64(0x632BE59BD9B4E019)) * powers(int(n.max()))[rel], first)
+    return mix(out), np.bincount(np.searchsorted(ends, start, "right"), minlength=len(texts))
 
 
 def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's word sequences."""
-    found = [_word.findall(t.lower()) if t else [] for t in texts]
-    sizes = np.array([len(f) for f in found], np.int64)
-    codes, vocab = pd.factorize(np.array([w for f in found for w in f], object))
-    h = np.array([xxhash.xxh3_64_intdigest(w) for w in vocab], np.uint64)[codes] if len(codes) else np.zeros(0, np.uint64)
-    out, at = [], 0
     with np.errstate(over="ignore"):
+        h, sizes = word_hashes([t or "" for t in texts])
         rolled = h.copy()
         for k in range(1, words):
             rolled[: len(h) - k] = mix(rolled[: len(h) - k]) * np.uint64(0x2545F4914F6CDD1D) + h[k:]
         rolled = mix(rolled)
-    for n in sizes:
-        out.append(np.unique(rolled[at : at + max(n - words + 1, 0)]))
+    out, at = [], 0
+    for n in sizes.tolist():
+        one = np.sort(rolled[at : at + max(n - words + 1, 0)])
+        out.append(one[np.append(True, one[1:] != one[:-1])] if len(one) else one)
         at += n
     return out
 
@@ -107,9 +145,20 @@ def slack(m_half: int, size: int) -> int:
     return z
 
 
-def allocate(threshold: float, tops: np.ndarray, counts: dict[int, int], share: float) -> dict[int, Plan]:
-    """The cheapest kind of signature for each band that has sets; share: of sets that hold a token, on average."""
+def rarest(sketch: np.ndarray, sets: int, part: float) -> float:
+    """Mean share of the sets that hold a token, over the rarest part of all tokens of sets."""
+    c = np.sort(sketch[sketch > 0])
+    if not len(c):
+        return 1.0
+    upto = np.searchsorted(np.cumsum(c), part * c.sum()) + 1
+    return float(min(1.0, (c[:upto] ** 2).sum() / c[:upto].sum() / max(1, sets)))
+
+
+def allocate(threshold: float, tops: np.ndarray, counts: dict[int, int], sketch: np.ndarray) -> dict[int, Plan]:
+    """The cheapest kind of signature for each band that has sets: signatures, and the meetings they lead to."""
     plans = {}
+    everything = sum(counts.values())
+    first, half, whole = (rarest(sketch, everything, p) for p in (1 - threshold, 0.5, 1.0))
     for k, top in enumerate(tops.tolist()):
         if top <= SMALL:
             plans[k] = Plan("token")
@@ -117,15 +166,15 @@ def allocate(threshold: float, tops: np.ndarray, counts: dict[int, int], share:
         n = int(0.85 * top)
         h = allowed(threshold, top + top / threshold)
         near = max(1, counts.get(k, 0) + counts.get(k + 1, 0))
-        options = []
+        options = [((1 - threshold) * n * (1 + MEETING * near * first), Plan("token"))]
         for s in (1.5, 2.5):
             m = math.ceil(s * (h + 1))
             per = n / (m * (1 - math.exp(-n / m)))
-            options.append((h * (1 + near * share**per), Plan("exact", m)))
-        half = math.ceil((h + 1) / 2)
-        z = slack(half, int(threshold * top))
-        m = half + z
-        options.append(((n + m) * (1 + near * share ** max(1.0, n / m - 1)), Plan("deletion", m, z)))
+            options.append((1.75 * h * (1 + MEETING * near * half**per), Plan("exact", m)))
+        pairs = math.ceil((h + 1) / 2)
+        z = slack(pairs, int(threshold * top))
+        m = pairs + z
+        options.append((1.75 * (n + m) * (1 + MEETING * near * whole ** max(1.0, n / m - 1)), Plan("deletion", m, z)))
         plans[k] = min(options, key=lambda o: o[0])[1]
     return plans
 
@@ -135,12 +184,14 @@ def cost_of(sketch: np.ndarray, toks: np.ndarray) -> np.ndarray:
     return sketch[(toks >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
 
 
-def bitmaps(toks: np.ndarray, doc: np.ndarray, docs: int, top: int) -> list[bytes]:
-    """Parities of each set's tokens over so many buckets as suit a band."""
-    bits = 64 * math.ceil(BITS_PER_TOKEN * top / 64)
-    place = doc * bits + (mix(toks ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(bits)).astype(np.int64)
-    packed = np.packbits((np.bincount(place, minlength=docs * bits) & 1).astype(np.uint8).reshape(docs, bits), axis=1)
-    return [r.tobytes() for r in packed]
+def bitmaps(sets: list[np.ndarray]) -> list[bytes]:
+    """Parities of each set's tokens by hash; widths are powers of two, so that a wide one folds into a narrow one."""
+    n = np.array([len(s) for s in sets], np.int64)
+    bits = 64 << np.ceil(np.log2(np.maximum(1, BITS_PER_TOKEN * n / 64))).astype(np.int64)
+    start = np.cumsum(bits) - bits
+    place = np.repeat(start, n) + (mix(np.concatenate(sets) ^ np.uint64(0x5851F42D4C957F2D)) & (np.repeat(bits, n) - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(place, minlength=int(bits.sum())) & 1).astype(np.uint8)).tobytes()
+    return [packed[a : a + b] for a, b in zip((start // 8).tolist(), (bits // 8).tolist())]
 
 
 def first_of(doc: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -150,34 +201,38 @@ def first_of(doc: np.ndarray, most: np.ndarray) -> np.ndarray:
     return place < most[doc]
 
 
-def signatures(sets: list[np.ndarray], threshold: float, tops: np.ndarray, plans: dict[int, Plan], sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]]:
-    """Of a batch of sets, band by band: index of the set and key and flag of each signature, the sets' bitmaps with their indices in the band, and which sets' guarantee failed.
+def signatures(sets: list[np.ndarray], threshold: float, tops: np.ndarray, plans: dict[int, Plan], sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of a batch of sets: index of the set, key and flag of each signature, and the indices of sets whose guarantee failed.
 
-    Flag 1 is for the set's own band, 2 for a deleted token.
+    Flag 1 is for a set that may be the smaller of a pair, 2 for a deleted token.
     """
     n = np.array([len(s) for s in sets], np.int64)
     least = np.ceil(threshold * n - 1e-9).astype(np.int64)
     own = np.searchsorted(tops, n)
     low = np.searchsorted(tops, least)
+    none = np.zeros(0, np.int64)
+    fine = np.array([plans[k].kind == "token" for k in range(len(tops))])
+    which = np.flatnonzero(fine[low] | fine[own] | (own - low > 1))
+    if len(which):
+        size = n[which]
+        doc = np.repeat(np.arange(len(which)), size)
+        toks = np.concatenate([sets[i] for i in which])
+        order = np.lexsort((toks, cost_of(sketch, toks), doc))
+        order = order[first_of(doc[order], size - least[which] + 1)]
+        smaller = first_of(doc[order], size - np.ceil(2 * threshold / (1 + threshold) * size - 1e-9).astype(np.int64) + 1)
+        yield which[doc[order]], mix(toks[order]), smaller.astype(np.int8), none
     for k in range(int(low.min()), int(own.max()) + 1):
+        plan, top = plans[k], int(tops[k])
         which = np.flatnonzero((low <= k) & (k <= own))
-        if not len(which):
+        if plan.kind == "token" or not len(which):
             continue
-        plan, top = plans[k], int(tops[k])
         size = n[which]
         doc = np.repeat(np.arange(len(which)), size)
         toks = np.concatenate([sets[i] for i in which])
         mine = (own[which] == k).astype(np.int8)
         h = np.floor((1 - threshold) / (1 + threshold) * (size + np.where(mine == 1, size / threshold, top)) + 1e-9).astype(np.int64)
-        maps = bitmaps(toks, doc, len(which), top)
-        failed = np.zeros(len(which), bool)
         seed = np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         cost = cost_of(sketch, toks)
-        if plan.kind == "token":
-            order = np.lexsort((toks, cost, doc))
-            order = order[first_of(doc[order], size - least[which] + 1)]
-            yield doc[order], mix(toks[order] ^ seed), mine[doc[order]], maps, which, failed
-            continue
         seg = doc * plan.m + (mix(toks ^ seed) % np.uint64(plan.m)).astype(np.int64)
         order = np.argsort(seg, kind="stable")
         sorted_ = seg[order]
@@ -199,7 +254,7 @@ def signatures(sets: list[np.ndarray], threshold: float, tops: np.ndarray, plans
                 held = place[of == i]
                 empty = np.sort(mix(np.setdiff1d(np.arange(plan.m), held.astype(np.int64)).astype(np.uint64) + seed))[: int(h[i]) + 1 - len(held)]
                 docs_, keys = np.append(docs_, np.full(len(empty), i)), np.append(keys, mix(empty))
-            yield docs_, keys, mine[docs_], maps, which, failed
+            yield which[docs_], keys, mine[docs_], none
         else:
             failed = plan.m - np.bincount(of[count >= 2], minlength=len(which)) > plan.z
             each = np.repeat(np.arange(len(first)), count)
@@ -207,7 +262,13 @@ def signatures(sets: list[np.ndarray], threshold: float, tops: np.ndarray, plans
             docs_ = np.append(of, of[each][many])
             keys = np.append(mix(total ^ where), mix((total[each] - mixed)[many] ^ where[each][many]))
             flags = mine[docs_] | np.append(np.zeros(len(of), np.int8), np.full(int(many.sum()), 2, np.int8))
-            yield docs_, keys, flags, maps, which, failed
+            yield which[docs_], keys, flags, which[failed]
+
+
+def binaries(data: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Slices of an array, from each of ``first`` to the next, as binary values."""
+    ends = np.append(first, len(data)).astype(np.int64) * data.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def class_of(s: np.ndarray) -> int:
@@ -245,14 +306,15 @@ def similar_classes(docs: DataFrame, seen: DataFrame, words: int, threshold: flo
     rows = seen.where("b is not null").groupBy("b").agg(F.sum("c").alias("c")).toPandas()
     sketch = np.zeros(1 << SKETCH_BITS, np.float64)
     sketch[rows["b"].to_numpy(np.int64)] = rows["c"].to_numpy(np.float64)
-    sizes = {int(r.n): int(r["count"]) for r in seen.where("id is not null").groupBy(F.pow(2.0, F.round(F.log2("n") * 8) / 8).cast("long").alias("n")).count().collect()}
-    tops = bands(threshold, seen.agg(F.max("n")).first()[0] or 1)
+    by = seen.where("id is not null").groupBy(F.pow(2.0, F.round(F.log2("n") * 8) / 8).cast("long").alias("size")).agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"), F.max("n").alias("most")).collect()
+    tops = bands(threshold, max((r.most for r in by), default=1))
     counts: dict[int, int] = {}
-    for n, c in sizes.items():
-        k = min(int(np.searchsorted(tops, n)), len(tops) - 1)
-        counts[k] = counts.get(k, 0) + c
-    everything = max(1, sum(sizes.values()))
-    plans = allocate(threshold, tops, counts, min(1.0, float((sketch**2).sum() / max(1.0, sketch.sum()) / everything)))
+    for r in by:
+        k = min(int(np.searchsorted(tops, r["size"])), len(tops) - 1)
+        counts[k] = counts.get(k, 0) + r.sets
+    everything = max(1, sum(counts.values()))
+    plans = allocate(threshold, tops, counts, sketch)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int((1 - threshold) * sum(r.tokens for r in by)) // BUCKET_KEYS))
     sent = spark.sparkContext.broadcast((tops, plans, np.log(np.clip(sketch / everything, 1e-12, 1)).astype(np.float32)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,31 +331,51 @@ def similar_classes(docs: DataFrame, seen: DataFrame, words: int, threshold: flo
                 if not sets:
                     continue
                 cls, n = np.array(ids, np.int64), np.array([len(s) for s in sets], np.int32)
+                maps = pa.array(bitmaps(sets), pa.binary())
                 with np.errstate(over="ignore"):
-                    for doc, key, flag, maps, which, failed in signatures(sets, threshold, tops_, plans_, logs_):
-                        if failed.any():
-                            bad = np.flatnonzero(failed)
-                            doc, key, flag = np.append(doc, bad), np.append(key, np.zeros(len(bad), np.uint64)), np.append(flag, np.full(len(bad), 8, np.int8))
-                        at = which[doc]
-                        yield pa.RecordBatch.from_arrays([pa.array((key & KEY).view(np.int64)), pa.array(cls[at]), pa.array(n[at]), pa.array(flag.astype(np.int8)), pa.array(maps, pa.binary()).take(pa.array(doc))], names=["key", "id", "n", "flag", "bits"])
-
-    sigs = docs.mapInArrow(emit, SIGNATURE)
+                    for doc, key, flag, failed in signatures(sets, threshold, tops_, plans_, logs_):
+                        at = doc * buckets + ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                        order = np.argsort(at, kind="stable")
+                        at, key, flag = at[order], key[order], flag[order]
+                        first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
+                        own = at[first] // buckets
+                        yield pa.RecordBatch.from_arrays([pa.array(at[first] % buckets), pa.array(cls[own]), pa.array(n[own]), maps.take(pa.array(own)), binaries(key, first), binaries(flag.astype(np.int8), first)], names=NAMES)
+                        if len(failed):
+                            none = pa.array([b""] * len(failed), pa.binary())
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(failed), -1, np.int64)), pa.array(cls[failed]), pa.array(n[failed]), none, none, none], names=NAMES)
+
+    sigs = docs.mapInArrow(emit, SIGNATURES)
     lookup = None
     if any(p.kind == "deletion" for p in plans.values()):
         sigs = cut(sigs)
-        lookup = token_lookup(docs, sigs.where("flag = 8").select("id").distinct(), words, threshold)
-        sigs = sigs.where("flag < 8")
-    pairs = together(sigs, "id", meetings(threshold), pa.schema([("a", pa.int64()), ("b", pa.int64())]), "a long, b long")
+        lookup = token_lookup(docs, sigs.where("key = -1").select("id").distinct(), words, threshold)
+        sigs = sigs.where("key >= 0")
+    pairs = together(sigs, "id", meetings(threshold), pa.schema([("a", pa.int64()), ("b", pa.int64())]), "a long, b long", BUCKET_ROWS, buckets)
     if lookup is not None:
         pairs = pairs.unionByName(lookup)
     # rows to classes: copies that different tasks sent are one again
     cls = seen.where("id is not null").select("id", "cls")
     pairs = pairs.distinct().join(cls.select(F.col("id").alias("a"), F.col("cls").alias("x")), "a").join(cls.select(F.col("id").alias("b"), F.col("cls").alias("y")), "b")
-    pairs = kept(pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    first = pairs.where("x <> y").select(F.when(F.col("x") < F.col("y"), F.struct("x", "y", "a", "b")).otherwise(F.struct(F.col("y").alias("x"), F.col("x").alias("y"), F.col("b").alias("a"), F.col("a").alias("b"))).alias("p")).select("p.*")
+    pairs = cut(first.groupBy("x", "y").agg(F.min(F.struct("a", "b")).alias("p")).select("x", "y", "p.a", "p.b"))
     # whole texts travel only for candidates
-    rep = seen.where("id is not null").groupBy("cls").agg(F.min("id").alias("id")).join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi")
-    used = kept(docs.join(rep, "id").select("cls", "text"))
-    both = pairs.join(used.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a").join(used.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b")
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(bit.alias("bit"))
+    place = F.col("bit") + 1  # positions of these functions begin at 1
+    maps = ids.groupBy(F.bitmap_bucket_number(place).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("map")).collect()
+    near = np.zeros(FILTER_BITS, bool)
+    for r in maps:
+        bits = np.unpackbits(np.frombuffer(bytes(r.map), np.uint8), bitorder="little")
+        near[(int(r.n) - 1) * len(bits) + np.flatnonzero(bits)] = True
+    flags = spark.sparkContext.broadcast(np.packbits(near))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(flags.value)
+        for batch in batches:
+            yield batch.filter(pa.array(known[batch.column(2).to_numpy()] > 0)).select([0, 1])
+
+    texts = docs.select("id", "text", bit.alias("bit")).mapInArrow(some, "id long, text string")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("t")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -307,67 +389,109 @@ def similar_classes(docs: DataFrame, seen: DataFrame, words: int, threshold: flo
                         good.append(i)
                 yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(good, pa.int64())) for c in (0, 1)], names=["a", "b"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
-
-
-SIGNATURE = "key long, id long, n int, flag tinyint, bits binary"
+    return both.select(F.col("x").alias("a"), F.col("y").alias("b"), "s", "t").mapInArrow(verify, "a long, b long")
+
+
+NAMES = ["key", "id", "n", "bits", "keys", "flags"]
+SIGNATURES = "key long, id long, n int, bits binary, keys binary, flags binary"
+
+
+def matrix(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a binary column, and where each value starts and ends."""
+    ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    return np.frombuffer(col.buffers()[2] or b"", np.uint8), ends[:-1], ends[1:]
+
+
+class Maps:
+    """Bitmaps of rows, wide ones folded to the width they are compared at."""
+
+    def __init__(self, col: pa.Array):
+        data, start, stop = matrix(col)
+        self.width = stop - start
+        self.own = {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            self.own[w] = at, data[start[at][:, None] + np.arange(w)].view(np.uint64)
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def of(self, w: int) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each row, and the rows' bitmaps at this width."""
+        if w not in self.at:
+            place, parts, held = np.zeros(len(self.width), np.int64), [], 0
+            for own, (at, bits) in self.own.items():
+                if own >= w:
+                    folded = bits
+                    while folded.shape[1] * 8 > w:
+                        half = folded.shape[1] // 2
+                        folded = folded[:, :half] ^ folded[:, half:]
+                    place[at] = held + np.arange(len(at))
+                    parts.append(folded)
+                    held += len(at)
+            self.at[w] = place, np.concatenate(parts)
+        return self.at[w]
+
+    def far(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hamming distances of rows a and b."""
+        out = np.empty(len(a), np.int64)
+        width = np.minimum(self.width[a], self.width[b])
+        for w in np.unique(width).tolist():
+            i = np.flatnonzero(width == w)
+            place, bits = self.of(w)
+            out[i] = np.bitwise_count(bits[place[a[i]]] ^ bits[place[b[i]]]).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def meetings(threshold: float):
-    """Pairs of sets under one key that may be similar: by size, kind of signature and bitmap."""
-
-    def group(ids: np.ndarray, n: np.ndarray, flag: np.ndarray, bits: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        maps = np.frombuffer(b"".join(bits), np.uint64).reshape(len(ids), -1)
-        for i in range(0, len(ids), 256):
-            for j in range(i, len(ids), 256):
-                x, y = slice(i, i + 256), slice(j, j + 256)
-                small, large = np.minimum(n[x, None], n[None, y]), np.maximum(n[x, None], n[None, y])
-                ok = (small >= large * threshold - 1e-9) & ((flag[x, None] | flag[None, y]) & 1 == 1) & (flag[x, None] & flag[None, y] & 2 == 0)
-                ok &= ids[x, None] != ids[None, y]
-                if i == j:
-                    ok &= np.arange(ok.shape[0])[:, None] < np.arange(ok.shape[1])[None]
-                a, b = np.nonzero(ok)
-                a, b = a + i, b + j
-                far = np.bitwise_count(maps[a] ^ maps[b]).sum(axis=1, dtype=np.int64)
-                near = far <= ((1 - threshold) / (1 + threshold) * (n[a] + n[b]) + 1e-9).astype(np.int64)
-                if near.any():
-                    yield ids[a[near]], ids[b[near]]
-
-    def small(ids, n, flag, rows, first, last) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All pairs of many small groups at once, in portions."""
-        size = last - first
-        bits = rows.column(4)
-        offs = np.frombuffer(bits.buffers()[1], np.int32)[bits.offset : bits.offset + len(bits) + 1].astype(np.int64)
-        data = np.frombuffer(bits.buffers()[2], np.uint8)
-        portion = np.cumsum(size * (size - 1) // 2) // 1_000_000
-        for p in np.unique(portion):
-            f, g = first[portion == p], size[portion == p]
-            row = np.repeat(f, g) + np.arange(int(g.sum())) - np.repeat(np.cumsum(g) - g, g)
-            later = np.repeat(f + g, g) - row - 1
-            a = np.repeat(row, later)
-            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
-            lo, hi = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-            ok = (lo >= hi * threshold - 1e-9) & ((flag[a] | flag[b]) & 1 == 1) & (flag[a] & flag[b] & 2 == 0) & (ids[a] != ids[b])
-            a, b = a[ok], b[ok]
-            width = offs[a + 1] - offs[a]
-            for w in np.unique(width):
-                i, j = a[width == w], b[width == w]
-                used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
-                maps = np.ascontiguousarray(data[offs[used][:, None] + np.arange(w)]).view(np.uint64)
-                far = np.bitwise_count(maps[back[: len(i)]] ^ maps[back[len(i) :]]).sum(axis=1, dtype=np.int64)
-                near = far <= ((1 - threshold) / (1 + threshold) * (n[i] + n[j]) + 1e-9).astype(np.int64)
-                yield ids[i[near]], ids[j[near]]
+    """Pairs of sets that share a key and may be similar: by size, kind of signature and bitmap."""
+    share = (1 - threshold) / (1 + threshold)
 
     def settle(rows: pa.RecordBatch, first: np.ndarray, last: np.ndarray) -> list[pa.RecordBatch]:
-        ids, n, flag = (rows.column(i).to_numpy() for i in (1, 2, 3))
-        large = last - first > 64
-        found = [f for a, b in zip(first[large], last[large]) for f in group(ids[a:b], n[a:b], flag[a:b], rows.column(4).slice(a, b - a).to_pylist())]
-        if (~large).any():
-            found += small(ids, n, flag, rows, first[~large], last[~large])
+        ids, n = rows.column(1).to_numpy(), rows.column(2).to_numpy().astype(np.int64)
+        maps = Maps(rows.column(3))
+        keys, start, stop = matrix(rows.column(4))
+        flags = matrix(rows.column(5))[0].view(np.int8)
+        found: list[np.ndarray] = []
+
+        def compare(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+            """Of rows a and b, that met by signatures of flags x and y, the pairs that may be similar."""
+            s, t = n[a], n[b]
+            small, large = np.minimum(s, t), np.maximum(s, t)
+            role = (np.where(s <= t, x, 0) | np.where(t <= s, y, 0)) & 1
+            ok = np.flatnonzero((small >= large * threshold - 1e-9) & (role == 1) & (x & y & 2 == 0) & (ids[a] != ids[b]))
+            a, b = a[ok], b[ok]
+            near = maps.far(a, b) <= (share * (n[a] + n[b]) + 1e-9).astype(np.int64)
+            i, j = ids[a[near]], ids[b[near]]
+            found.append(np.stack([np.minimum(i, j), np.maximum(i, j)]))
+
+        for f, e in zip(first.tolist(), last.tolist()):
+            key = keys[start[f] : stop[e - 1]].view(np.uint64)
+            flag = flags[start[f] // 8 : stop[e - 1] // 8]
+            row = np.repeat(np.arange(f, e), (stop[f:e] - start[f:e]) // 8)
+            order = np.argsort(key, kind="stable")
+            key, flag, row = key[order], flag[order], row[order]
+            begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(begin, len(key)))
+            # all pairs of many small groups at once, in portions; a large one in blocks
+            some = (size > 1) & (size <= 512)
+            begins, sizes = begin[some], size[some]
+            portion = np.cumsum(sizes * (sizes - 1) // 2) // 500_000
+            for p in np.unique(portion):
+                g, z = begins[portion == p], sizes[portion == p]
+                at = np.repeat(g, z) + np.arange(int(z.sum())) - np.repeat(np.cumsum(z) - z, z)
+                later = np.repeat(g + z, z) - at - 1
+                i = np.repeat(at, later)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+                compare(row[i], row[j], flag[i], flag[j])
+            for g, z in zip(begin[size > 512].tolist(), size[size > 512].tolist()):
+                for i in range(g, g + z, 512):
+                    for j in range(i, g + z, 512):
+                        x, y = np.meshgrid(np.arange(i, min(i + 512, g + z)), np.arange(j, min(j + 512, g + z)), indexing="ij")
+                        pick = x < y
+                        x, y = x[pick], y[pick]
+                        compare(row[x], row[y], flag[x], flag[y])
         if not found:
             return []
-        a, b = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        both = np.unique(np.concatenate(found, axis=1), axis=1)
         return [pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])]
 
     return settle

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.llm import meet, nearsets
+from quernstone.llm import nearsets
 
 
 def corpus(seed, n=160):
@@ -44,23 +44,22 @@ def pairs(spark, rows, words, threshold):
     return got | {(r.a, r.b) for r in nearsets.copies(members).collect()}
 
 
-@pytest.mark.parametrize("kind", ["auto", "deletion"])
+@pytest.mark.parametrize("kind", ["auto", "exact", "deletion"])
 @pytest.mark.parametrize("words,threshold", [(3, 0.7), (5, 0.8)])
 def test_brute_force(spark, monkeypatch, kind, words, threshold):
-    if kind == "deletion":
-
-        def allocate(t, tops, counts, share):
-            out = {}
-            for k, top in enumerate(tops.tolist()):
-                half = -(-(nearsets.allowed(t, top + top / t) + 1) // 2)
-                z = nearsets.slack(half, max(1, int(t * top)))
-                out[k] = nearsets.Plan("deletion", half + z, z)
-            return out
-
+    def allocate(t, tops, counts, sketch):
+        out = {}
+        for k, top in enumerate(tops.tolist()):
+            h = nearsets.allowed(t, top + top / t)
+            half = -(-(h + 1) // 2)
+            z = nearsets.slack(half, max(1, int(t * top)))
+            out[k] = nearsets.Plan("deletion", half + z, z) if kind == "deletion" else nearsets.Plan(*(("token",) if k % 3 == 0 else ("exact", 2 * h + 2)))
+        return out
+
+    if kind != "auto":
         monkeypatch.setattr(nearsets, "allocate", allocate)
-    else:
-        monkeypatch.setattr(nearsets, "SMALL", 10)
-        monkeypatch.setattr(meet, "HOT_KEY", 12)
+    if kind != "deletion":
+        monkeypatch.setattr(nearsets, "BUCKET_ROWS", 12)
         monkeypatch.setattr(nearsets, "COPIES_BLOCK", 2)
     rows = list(enumerate(corpus(words))) + [(900, None), (901, ""), (902, " "), (903, "w1 w2"), (904, "w1 w2")]
     assert pairs(spark, rows, words, threshold) == brute(rows, words, threshold)

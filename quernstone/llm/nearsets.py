@@ -7,7 +7,7 @@ signature that costs least, rows and expected meetings together, for its number
 frequencies of tokens:
 
 * ``token``: segments as fine as single tokens. By one total order of all tokens, rare ones first,
-  the first token two similar sets share is among the first ``n - ceil(t*n) + 1`` of either, and of
+  the first token two similar sets share is among the first ``n - ceil(t*n) + 1`` of either, and
   the smaller even among its first ``n - ceil(2t/(1+t)*n) + 1``. Such bands need no keys of their own.
 * ``exact``: at most H segments differ, so the cheapest segment that is equal in both (by the product
   of its tokens' frequencies, empty ones last, then by hash: a total order both sets share) is
@@ -51,7 +51,7 @@ THRESHOLD = 0.7
 SKETCH_BITS = 18  # buckets of the token-frequency sketch, 1 MB
 SMALL = 64  # sets up to this size always use their tokens as segments
 COPIES_BLOCK = 1000  # members of a class that are paired in one task
-BITS_PER_TOKEN = 0.8  # of the parity bitmaps, at least
+BITS_PER_TOKEN = 1.15  # of the parity bitmaps, at least
 BUCKET_KEYS = 500_000  # signatures that a bucket holds on average
 BUCKET_ROWS = 400_000  # rows of a bucket that meet in one task
 MEETING = 0.02  # cost of a comparison, as a share of a signature's
@@ -202,9 +202,10 @@ def first_of(doc: np.ndarray, most: np.ndarray) -> np.ndarray:
 
 
 def signatures(sets: list[np.ndarray], threshold: float, tops: np.ndarray, plans: dict[int, Plan], sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of a batch of sets: index of the set, key and flag of each signature, and the indices of sets whose guarantee failed.
+    """Of a batch of sets: index of the set, key and mark of each signature, and the indices of sets whose guarantee failed.
 
-    Flag 1 is for a set that may be the smaller of a pair, 2 for a deleted token.
+    The mark of a token is its place in the total order; that of a segment is -1, less by 1 in the
+    set's own band and less by 2 for a deleted token.
     """
     n = np.array([len(s) for s in sets], np.int64)
     least = np.ceil(threshold * n - 1e-9).astype(np.int64)
@@ -219,8 +220,10 @@ def signatures(sets: list[np.ndarray], threshold: float, tops: np.ndarray, plans
         toks = np.concatenate([sets[i] for i in which])
         order = np.lexsort((toks, cost_of(sketch, toks), doc))
         order = order[first_of(doc[order], size - least[which] + 1)]
-        smaller = first_of(doc[order], size - np.ceil(2 * threshold / (1 + threshold) * size - 1e-9).astype(np.int64) + 1)
-        yield which[doc[order]], mix(toks[order]), smaller.astype(np.int8), none
+        of = doc[order]
+        start = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        place = np.arange(len(of)) - np.repeat(start, np.diff(np.append(start, len(of))))
+        yield which[of], mix(toks[order]), np.minimum(place, 32767), none
     for k in range(int(low.min()), int(own.max()) + 1):
         plan, top = plans[k], int(tops[k])
         which = np.flatnonzero((low <= k) & (k <= own))
@@ -254,7 +257,7 @@ def signatures(sets: list[np.ndarray], threshold: float, tops: np.ndarray, plans
                 held = place[of == i]
                 empty = np.sort(mix(np.setdiff1d(np.arange(plan.m), held.astype(np.int64)).astype(np.uint64) + seed))[: int(h[i]) + 1 - len(held)]
                 docs_, keys = np.append(docs_, np.full(len(empty), i)), np.append(keys, mix(empty))
-            yield which[docs_], keys, mine[docs_], none
+            yield which[docs_], keys, -1 - mine[docs_], none
         else:
             failed = plan.m - np.bincount(of[count >= 2], minlength=len(which)) > plan.z
             each = np.repeat(np.arange(len(first)), count)
@@ -262,7 +265,7 @@ def signatures(sets: list[np.ndarray], threshold: float, tops: np.ndarray, plans
             docs_ = np.append(of, of[each][many])
             keys = np.append(mix(total ^ where), mix((total[each] - mixed)[many] ^ where[each][many]))
             flags = mine[docs_] | np.append(np.zeros(len(of), np.int8), np.full(int(many.sum()), 2, np.int8))
-            yield which[docs_], keys, flags, which[failed]
+            yield which[docs_], keys, -1 - flags, which[failed]
 
 
 def binaries(data: np.ndarray, first: np.ndarray) -> pa.Array:
@@ -339,7 +342,7 @@ def similar_classes(docs: DataFrame, seen: DataFrame, words: int, threshold: flo
                         at, key, flag = at[order], key[order], flag[order]
                         first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
                         own = at[first] // buckets
-                        yield pa.RecordBatch.from_arrays([pa.array(at[first] % buckets), pa.array(cls[own]), pa.array(n[own]), maps.take(pa.array(own)), binaries(key, first), binaries(flag.astype(np.int8), first)], names=NAMES)
+                        yield pa.RecordBatch.from_arrays([pa.array(at[first] % buckets), pa.array(cls[own]), pa.array(n[own]), maps.take(pa.array(own)), binaries(key, first), binaries(flag.astype(np.int16), first)], names=NAMES)
                         if len(failed):
                             none = pa.array([b""] * len(failed), pa.binary())
                             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(failed), -1, np.int64)), pa.array(cls[failed]), pa.array(n[failed]), none, none, none], names=NAMES)
@@ -449,15 +452,19 @@ def meetings(threshold: float):
         ids, n = rows.column(1).to_numpy(), rows.column(2).to_numpy().astype(np.int64)
         maps = Maps(rows.column(3))
         keys, start, stop = matrix(rows.column(4))
-        flags = matrix(rows.column(5))[0].view(np.int8)
+        marks = matrix(rows.column(5))[0].view(np.int16)
         found: list[np.ndarray] = []
 
         def compare(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
-            """Of rows a and b, that met by signatures of flags x and y, the pairs that may be similar."""
+            """Of rows a and b, that met by signatures of marks x and y, the pairs that may be similar."""
             s, t = n[a], n[b]
             small, large = np.minimum(s, t), np.maximum(s, t)
-            role = (np.where(s <= t, x, 0) | np.where(t <= s, y, 0)) & 1
-            ok = np.flatnonzero((small >= large * threshold - 1e-9) & (role == 1) & (x & y & 2 == 0) & (ids[a] != ids[b]))
+            # enough tokens follow the first that both have
+            need = threshold / (1 + threshold) * (s + t) - 1e-9
+            token = (x >= 0) & (s - x >= need) & (t - y >= need)
+            f, g = -1 - x, -1 - y
+            segment = (x < 0) & ((f | g) & 1 == 1) & (f & g & 2 == 0)
+            ok = np.flatnonzero((small >= large * threshold - 1e-9) & (token | segment) & (ids[a] != ids[b]))
             a, b = a[ok], b[ok]
             near = maps.far(a, b) <= (share * (n[a] + n[b]) + 1e-9).astype(np.int64)
             i, j = ids[a[near]], ids[b[near]]
@@ -465,10 +472,10 @@ def meetings(threshold: float):
 
         for f, e in zip(first.tolist(), last.tolist()):
             key = keys[start[f] : stop[e - 1]].view(np.uint64)
-            flag = flags[start[f] // 8 : stop[e - 1] // 8]
+            mark = marks[start[f] // 8 : stop[e - 1] // 8].astype(np.int64)
             row = np.repeat(np.arange(f, e), (stop[f:e] - start[f:e]) // 8)
             order = np.argsort(key, kind="stable")
-            key, flag, row = key[order], flag[order], row[order]
+            key, mark, row = key[order], mark[order], row[order]
             begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             size = np.diff(np.append(begin, len(key)))
             # all pairs of many small groups at once, in portions; a large one in blocks
@@ -481,14 +488,14 @@ def meetings(threshold: float):
                 later = np.repeat(g + z, z) - at - 1
                 i = np.repeat(at, later)
                 j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
-                compare(row[i], row[j], flag[i], flag[j])
+                compare(row[i], row[j], mark[i], mark[j])
             for g, z in zip(begin[size > 512].tolist(), size[size > 512].tolist()):
                 for i in range(g, g + z, 512):
                     for j in range(i, g + z, 512):
                         x, y = np.meshgrid(np.arange(i, min(i + 512, g + z)), np.arange(j, min(j + 512, g + z)), indexing="ij")
                         pick = x < y
                         x, y = x[pick], y[pick]
-                        compare(row[x], row[y], flag[x], flag[y])
+                        compare(row[x], row[y], mark[x], mark[y])
         if not found:
             return []
         both = np.unique(np.concatenate(found, axis=1), axis=1)

@@ -95,6 +95,10 @@ class Reader(HTMLParser):
         self.text: list[str] = []
         self.tags = self.linked = self.links = self.silent = 0
 
+    def updatepos(self, i: int, j: int) -> int:
+        """Places in the source aren't asked for."""
+        return j
+
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
@@ -226,7 +230,7 @@ def dense(ratio: np.ndarray) -> np.ndarray:
 
 def bare(text: str) -> bool:
     """A label or a title rather than a sentence."""
-    return not re.search(r"[.!?:;…。！？।؟][\"'”’»)\]]*$", text.rstrip("*_ "))
+    return not ENDED.search(text.rstrip("*_ ")[-12:])
 
 
 def article_of_html(page: str | None) -> list[str]:
@@ -259,6 +263,8 @@ def article_of_html(page: str | None) -> list[str]:
     ]
 
 
+TITLE, HEADING, LETTER = re.compile(r"\s*#\s+\S"), re.compile(r"\s*#{1,6}\s"), re.compile(r"[^\W\d_]")
+ENDED = re.compile(r"[.!?:;…。！？।؟][\"'”’»)\]]*$")
 MARKS = re.compile(r"[\[\]()|*_`>#~]")
 PLAIN = re.compile(r"^[\s>*_~]+|[\s*_~]+$")
 TRAIL = re.compile(r"[←→»›]|(?:\S+ · ){2}")
@@ -277,8 +283,8 @@ def article_of_markdown(text: str | None, repeated: frozenset[int] | set[int] =
     if not text or not text.strip():
         return []
     lines = text.split("\n")
-    title = next((i for i, line in enumerate(lines) if re.match(r"\s*#\s+\S", line)), None)
-    letters = [any(c.isalpha() for c in line) for line in lines]
+    title = next((i for i, line in enumerate(lines) if "#" in line and TITLE.match(line)), None)
+    letters = [LETTER.search(line) for line in lines]
     # lists of bare titles
     drop: set[int] = set()
     i = 0
@@ -310,7 +316,7 @@ def article_of_markdown(text: str | None, repeated: frozenset[int] | set[int] =
                 continue
         if not letters[n] or n in drop or (title is not None and n < title):
             continue
-        heading, row = re.match(r"\s*#{1,6}\s", line), line.lstrip().startswith("|")
+        heading, row = "#" in line and HEADING.match(line), line.lstrip().startswith("|")
         if code or heading:
             out.append(line)
             continue
@@ -380,13 +386,13 @@ def html_articles(pages: DataFrame, key: str = "fetch_id", html: str = "html") -
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(site, page, sig, bands) of rows (site, page, text): MinHash of the chunks, two bytes a place."""
+    """(site, page, sig, bands, lines) of rows (site, page, text): MinHash of the chunks, two bytes a place, and the lines' hashes, each once."""
     size = SIGNATURE_BANDS * BAND_ROWS
     seeds = np.random.default_rng(11).integers(1, 1 << 63, size, dtype=np.uint64) | np.uint64(1)
     for whole in batches:
         for batch in repeats.pieces(whole):
             site, page = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            doc, _, n, _, of, chunk = repeats.chunk_lines(batch.column(2).to_pylist())
+            doc, _, n, line, of, chunk = repeats.chunk_lines(batch.column(2).to_pylist())
             good = n[of] >= repeats.MIN_LETTERS
             d, chunk = doc[of[good]], chunk[good]
             some, first = np.unique(d, return_index=True)
@@ -402,7 +408,12 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     key = repeats.mix(key ^ sig[:, r::BAND_ROWS])
                 key = repeats.mix(key ^ site[some].astype(np.uint64)[:, None] ^ np.arange(1, SIGNATURE_BANDS + 1, dtype=np.uint64))
             short = repeats.mix(sig).astype(np.uint16)
-            yield pa.RecordBatch.from_arrays([pa.array(site[some]), pa.array(page[some]), pa.array([r.tobytes() for r in short], pa.binary()), pa.array(list(key.view(np.int64)), pa.list_(pa.int64()))], names=["site", "page", "sig", "bands"])
+            keep = n >= repeats.MIN_LETTERS
+            pair = np.unique(np.stack([doc[keep].astype(np.uint64), line[keep]]), axis=1)
+            ends = pa.array(np.append(np.searchsorted(pair[0], some.astype(np.uint64)), pair.shape[1]).astype(np.int32))
+            lines = pa.ListArray.from_arrays(ends, pa.array(pair[1].view(np.int64)))
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * SIGNATURE_BANDS), pa.array(key.view(np.int64).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([pa.array(site[some]), pa.array(page[some]), pa.array([r.tobytes() for r in short], pa.binary()), bands, lines], names=["site", "page", "sig", "bands", "lines"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,9 +424,13 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
 
-def same_articles(pages: DataFrame) -> DataFrame:
-    """(url, article) of the pages (__site, __url, __text) whose text is almost that of another page of the site."""
-    rows = kept(pages.select("__site", "__url", "__text").mapInArrow(_signatures, "site long, page long, sig binary, bands array<long>").withColumn("id", F.xxhash64("site", "sig")))
+def signed(pages: DataFrame) -> DataFrame:
+    """One row for each page (__site, __url, __text) that has lines: its signature and its lines."""
+    return pages.select("__site", "__url", "__text").mapInArrow(_signatures, "site long, page long, sig binary, bands array<long>, lines array<long>").withColumn("id", F.xxhash64("site", "sig"))
+
+
+def same_articles(rows: DataFrame) -> DataFrame:
+    """(url, article) of the pages whose text is almost that of another page of the site."""
     bands = rows.select("id", F.explode("bands").alias("band")).distinct()
     heads = bands.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("band", "a")
     near = bands.join(heads, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct()
@@ -430,11 +445,11 @@ def same_articles(pages: DataFrame) -> DataFrame:
     return of.select("url").distinct().join(named.select(F.col("id").alias("url"), F.col("component").alias("article")), "url")
 
 
-def repeated_by_articles(lines: DataFrame, titled: DataFrame, sites: DataFrame) -> DataFrame:
+def repeated_by_articles(rows: DataFrame, sites: DataFrame) -> DataFrame:
     """(site, line) in enough articles of the site; what too few titles have isn't looked at again."""
-    pairs = kept(lines.select("site", "url", "line").distinct())
+    pairs = rows.select("site", F.col("page").alias("url"), F.explode("lines").alias("line"))
     maybe = cut(repeats.repeated(pairs, sites, "line", REPEATED_ARTICLES, REPEATED_SHARE))
-    by = pairs.join(maybe, ["site", "line"], "left_semi").join(same_articles(titled), "url", "left")
+    by = pairs.join(maybe, ["site", "line"], "left_semi").join(same_articles(rows), "url", "left")
     return repeats.repeated(by.select("site", "line", F.coalesce("article", "url").alias("url")), sites, "line", REPEATED_ARTICLES, REPEATED_SHARE)
 
 
@@ -447,8 +462,9 @@ def markdown_articles(docs: DataFrame) -> DataFrame:
     name = F.regexp_replace(F.regexp_replace(F.lower("title"), r"\s[|\u2013\u2014-]\s.*$", ""), r"[^\p{L}]", "")
     host = F.regexp_extract(F.lower(F.col("url")), r"^[a-z][a-z0-9+.-]*://([^/?#]+)", 1)
     titled = docs.where(host != "").select(F.col("ord").alias("__ord"), F.xxhash64(host).alias("__site"), F.xxhash64(host, F.coalesce(F.when(name != "", name), "url")).alias("__url"), F.col("markdown").alias("__text")).where(F.length("__text") > 0)
-    lines = titled.mapInArrow(repeats._lines(None, chunks=False), "ord int, line_no int, site long, url long, line long, chunks array<long>")
-    hot = cut(repeated_by_articles(lines, titled, sites))
+    pages = kept(signed(titled))
+    pages.count()  # made once: what reads it runs at the same time
+    hot = cut(repeated_by_articles(pages, sites))
     rows = docs.where(F.length("markdown") > 0).select(F.col("ord").cast("long").alias("rec_id"), F.xxhash64(host).alias("site"), "markdown")
     if hot.count() <= repeats.BROADCAST_KEYS:
         keys = hot.toPandas()
@@ -456,6 +472,7 @@ def markdown_articles(docs: DataFrame) -> DataFrame:
             known = np.sort(repeats.mix(keys["site"].to_numpy(np.int64).astype(np.uint64) ^ keys["line"].to_numpy(np.int64).astype(np.uint64)))
         sent, rows = spark.sparkContext.broadcast(known), rows.withColumn("gone", F.array().cast("array<int>"))
     else:
+        lines = titled.mapInArrow(repeats._lines(None, chunks=False), "ord int, line_no int, site long, url long, line long, chunks array<long>")
         gone = lines.join(hot, ["site", "line"]).groupBy(F.col("ord").cast("long").alias("rec_id")).agg(F.collect_set("line_no").alias("gone"))
         sent, rows = None, rows.join(gone, "rec_id", "left")
     return rows.mapInArrow(_markdown(sent), "rec_id long, block_head string")

@@ -21,7 +21,6 @@ table gives no rows; other columns aren't read.
 from __future__ import annotations
 
 import sys
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,10 +51,11 @@ _letters: np.ndarray | None = None
 
 
 def letters() -> np.ndarray:
-    """Whether each code point is of Unicode category L."""
+    """Whether each code point is of Unicode category L; there is none beyond plane 3."""
     global _letters
     if _letters is None:
-        _letters = np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+        _letters = np.zeros(sys.maxunicode + 1, bool)
+        _letters[: 1 << 18] = [chr(c).isalpha() for c in range(1 << 18)]
     return _letters
 
 

@@ -30,10 +30,13 @@ def has_content(text: Column) -> Column:
 
 def shingles(text: Column, words: int = 3) -> Column:
     """Distinct sequences of words; a shorter text's single words."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
-    n = F.size(w)
-    seq = F.transform(F.sequence(F.lit(1), F.greatest(n - (words - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(words)), " "))
-    return F.array_distinct(F.when(n < words, w).otherwise(seq))
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        seq = F.transform(F.sequence(F.lit(1), F.greatest(n - (words - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(words)), " "))
+        return F.array_distinct(F.when(n < words, w).otherwise(seq))
+
+    # the words are a lambda's variable, so they are found once and not once a place
+    return F.get(F.transform(F.array(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))), of), F.lit(0))
 
 
 def tail_overlap(text: Column, n: int) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from quernstone.functions import text as T
 from quernstone.functions import url as U
-from quernstone.operators.crawl import SOURCE_RANK
+from quernstone.operators.crawl import SOURCE_RANK, robots_allowed
 from quernstone.runtime import cut, kept
 
 PERMUTATIONS, BANDS = 128, 16
@@ -28,28 +28,34 @@ def page_links(pages: DataFrame, base: str | None = None) -> DataFrame:
     return links.where(U.is_internal(F.col("dst"), F.col("root"))).select(F.col("url").alias("src"), "dst").distinct()
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int = 4, limit: int | None = None) -> DataFrame:
-    """(url, depth) by breadth-first search; one shuffle a level, lineage cut each time."""
-    seen = cut(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
-    front = seen
-    for depth in range(1, max_depth + 1):
-        new = front.join(edges, front["url"] == edges["src"]).select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti").withColumn("depth", F.lit(depth))
-        front = cut(new)
-        if front.isEmpty():
+def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int = 4, limit: int | None = None, rules: list[tuple[str, bool]] | None = None) -> DataFrame:
+    """(url, depth) by breadth-first search; one shuffle a level, lineage cut each time.
+
+    Only what robots rules allow is visited. With a limit the search ends with the level that reaches
+    it, and of that level the first urls in order stay: each task keeps no more than are missing.
+    """
+    allowed = (lambda df: robots_allowed(df, rules)) if rules else (lambda df: df)
+    front = cut(allowed(seeds.select("url").distinct()).withColumn("depth", F.lit(0)))
+    seen, count = None, 0
+    for depth in range(1, max_depth + 2):
+        n = front.count()
+        if limit is not None and count + n >= limit:
+            front = front.orderBy("url").limit(limit - count)
+            n = 0
+        seen, count = front if seen is None else cut(seen.unionByName(front)), count + n
+        if not n or depth > max_depth:
             break
-        seen = cut(seen.unionByName(front))
-        if limit is not None and seen.count() >= limit:
-            w = Window.orderBy("depth", "url")
-            return seen.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limit).drop("__n")
+        new = allowed(front.join(edges, front["url"] == edges["src"]).select(F.col("dst").alias("url")).distinct())
+        front = cut(new.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)))
     return seen
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(id, component) of undirected edges (a, b): smallest id of each component.
 
     Large-star and small-star steps: edges are pulled towards the smallest neighbour until nothing
     changes, in a number of rounds that grows with the logarithm of the component's size. No
-    component is ever gathered in one task.
+    component is ever gathered in one task. It is an error if that isn't reached within ``rounds``.
     """
     e = cut(edges.select("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     for _ in range(rounds):
@@ -66,6 +72,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         e = small
         if same:
             break
+    else:
+        raise RuntimeError(f"components aren't settled after {rounds} rounds")
     tops = e.select(F.col("a").alias("id")).distinct().join(e.select(F.col("b").alias("id")), "id", "left_anti").select("id", F.col("id").alias("component"))
     return e.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component")).unionByName(tops)
 
@@ -118,6 +126,13 @@ def near_duplicate_groups(docs: DataFrame, key: str = "ord", text: str = "markdo
     return components(minhash_pairs(docs, key, text, threshold))
 
 
+def group_listing(groups: DataFrame, names: DataFrame, key: str = "ord", name: str = "url") -> DataFrame:
+    """(component, size, nth, members): groups from the largest on, ties by their first member; members in order."""
+    g = groups.join(names.select(F.col(key).alias("id"), name), "id").groupBy("component").agg(F.array_sort(F.collect_set(name)).alias("members")).where(F.size("members") > 1)
+    w = Window.orderBy(F.desc("size"), "members")  # one row a group
+    return g.withColumn("size", F.size("members")).withColumn("nth", F.row_number().over(w)).select("component", "size", "nth", "members")
+
+
 def collapse(docs: DataFrame, groups: DataFrame, key: str = "ord") -> DataFrame:
     """One document of each group: best source, then priority, then url."""
     rank = F.lit(99)

@@ -4,9 +4,11 @@ Two layers share one rule: a commit covers the records whose position in a monot
 sequence lies in ``(watermark, upper]``, with ``upper`` fixed before anything is read.
 
 * :class:`CommitLog` and :func:`run_incremental` drive real runs. A run writes its rows into a
-  folder of its own and then publishes *one* manifest holding rows' folder and new watermark, by
-  an atomic create-then-rename. Readers follow manifests only, so a run that dies at any moment
+  folder of its own and then publishes *one* manifest holding rows' folder and new watermark, which
+  appears whole or not at all. Readers follow manifests only, so a run that dies at any moment
   leaves nothing visible and the next run starts from the old watermark.
+* :func:`changed_runs` processes a history commit by commit that way. A key's state after a commit is
+  in the rows of the last commit that moved it, so each commit reads the state of its own keys only.
 * :func:`commit_of_runs`, :func:`changed_versions` and :func:`changed_listings` are the set-based
   form over a whole history of runs: every record is assigned the commit that covers it, the
   state after each commit is a running maximum per key, and a change is a difference between
@@ -116,11 +118,46 @@ class Commit:
     outputs: dict[str, str] = field(default_factory=dict)
 
 
+def put_once(spark: SparkSession, path: str, text: str) -> None:
+    """A file that readers see whole or not at all, and that one of several writers makes; the others get an error.
+
+    On a local disk by a hard link, which fails if the name is taken; where renaming is atomic by a rename
+    that doesn't overwrite; on object stores by a conditional upload.
+    """
+    jvm = spark.sparkContext._jvm
+    final = jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    fs = final.getFileSystem(conf)
+    scheme = fs.getUri().getScheme()
+    whole = scheme in ("file", "hdfs", "viewfs")
+    draft = jvm.org.apache.hadoop.fs.Path(final.getParent(), f".draft-{uuid.uuid4().hex}") if whole else final
+    taken = RuntimeError(f"{path} was published by another run")
+    try:
+        stream = fs.create(draft, False)
+    except Exception as e:
+        raise taken from e
+    stream.write(bytearray(text.encode()))
+    try:
+        stream.close()
+        if scheme == "file":
+            local = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+            jvm.java.nio.file.Files.createLink(local(fs.makeQualified(final)), local(fs.makeQualified(draft)))
+        elif whole:
+            options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), conf).rename(draft, final, options)
+    except Exception as e:
+        raise taken from e
+    finally:
+        if whole:
+            fs.delete(draft, False)
+
+
 class CommitLog:
     """Numbered manifests in a folder of any Hadoop file system. ``number`` grows by one a commit.
 
-    A manifest is written under a private name and renamed to its final one; the rename fails if
-    another run published that number first, which makes that run the only winner.
+    A manifest appears whole under its number, once: the first of several runs wins, the others fail
+    (:func:`put_once`).
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -148,14 +185,7 @@ class CommitLog:
             stream.close()
 
     def publish(self, commit: Commit) -> None:
-        final = self._at(f"{self.path}/commit-{commit.number:012d}.json")
-        draft = self._at(f"{self.path}/.draft-{uuid.uuid4().hex}")
-        stream = self._fs.create(draft, False)
-        stream.write(bytearray(json.dumps(asdict(commit)).encode()))
-        stream.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
-            self._fs.delete(draft, False)
-            raise RuntimeError(f"commit {commit.number} was published by another run")
+        put_once(self.spark, f"{self.path}/commit-{commit.number:012d}.json", json.dumps(asdict(commit)))
 
     def read(self, output: str) -> DataFrame | None:
         """All committed rows of one output; null if nothing was committed. Drafts are never read."""
@@ -163,6 +193,53 @@ class CommitLog:
         return self.spark.read.parquet(*paths) if paths else None
 
 
+def newest(state: DataFrame, key: str) -> DataFrame:
+    """(key, o, v): each key's version of the greatest order."""
+    return state.groupBy(key).agg(F.max(F.struct("o", "v")).alias("s")).select(key, "s.o", "s.v")
+
+
+def changed_runs(log: CommitLog, versions: DataFrame, listed: DataFrame, base: DataFrame, commits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(item, commit_run) of changed versions and of listings, each commit of ``commits`` being a run of its own over ``log``.
+
+    versions: (run_id, item, o, v), v the version of the order o; listed: (run_id, item, at); base: (item, v),
+    older than any version. Both are handled and published in one commit, so neither can run ahead.
+    """
+    covered = commits.select("run_id", "commit_run", "commit_seq")
+    records = versions.select(F.lit("version").alias("kind"), "run_id", "item", F.col("o").cast("long").alias("o"), "v", F.lit(None).cast("timestamp").alias("at")).unionByName(
+        listed.select(F.lit("listing").alias("kind"), "run_id", "item", F.lit(None).cast("long").alias("o"), F.lit(None).cast("string").alias("v"), "at")
+    )
+    records = records.where("item is not null").join(F.broadcast(covered), "run_id")  # a row for each run
+    old = base.where("item is not null and v is not null").select("item", F.lit(-(2**63)).cast("long").alias("o"), "v")
+
+    def process(fresh: DataFrame) -> dict[str, DataFrame]:
+        run = F.max("commit_run").alias("commit_run")
+        new = fresh.where("kind = 'version' and v is not null and o is not null").groupBy("item").agg(F.max(F.struct("o", "v")).alias("n"), run)
+        held = log.read("versions")
+        state = old if held is None else old.unionByName(held.select("item", "o", "v"))
+        before = newest(state.join(new.select("item"), "item", "left_semi"), "item").select("item", F.struct("o", "v").alias("b"))
+        moved = new.join(before, "item", "left").where(F.col("b").isNull() | (F.col("n") > F.col("b")))
+        first = F.col("b").isNull() | (F.col("b.v") != F.col("n.v"))
+        seen = fresh.where("kind = 'listing'").groupBy("item").agg(F.max("at").alias("at"), run)
+        past = log.read("listings")
+        if past is None:
+            urls = seen.select("item", "at", "commit_run", F.lit(True).alias("changed"))
+        else:
+            last = past.join(seen.select("item"), "item", "left_semi").groupBy("item").agg(F.max("at").alias("old"), F.lit(True).alias("known"))
+            later = F.col("at").isNotNull() & (F.col("old").isNull() | (F.col("at") > F.col("old")))
+            urls = seen.join(last, "item", "left").where(F.col("known").isNull() | later).select("item", "at", "commit_run", F.lit(True).alias("changed"))
+        return {"versions": moved.select("item", "n.o", "n.v", "commit_run", first.alias("changed")), "listings": urls}
+
+    runs: dict[int, list[str]] = {}
+    for r in covered.collect():  # a row for each run
+        runs.setdefault(r.commit_seq, []).append(r.run_id)
+    for seq in sorted(runs):
+        # the runs' names reach the scan; the watermark still decides what is taken
+        run_incremental(log, records.where(F.col("run_id").isin(runs[seq])), "commit_seq", process, upper=seq)
+    empty = log.spark.createDataFrame([], "item string, commit_run string")
+    out = [log.read(name) for name in ("versions", "listings")]
+    return tuple(empty if df is None else df.where("changed").select("item", "commit_run") for df in out)
+
+
 def run_incremental(log: CommitLog, records: DataFrame, sequence: str, process: Callable[[DataFrame], dict[str, DataFrame]], upper: int | None = None) -> Commit | None:
     """One run: fix the upper bound, process ``(watermark, upper]``, write, then publish rows and watermark as one.
 

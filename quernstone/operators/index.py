@@ -1,12 +1,14 @@
 """The chunk index as snapshots of parquet: upsert by content hash, deletes, and metadata.
 
-A snapshot is a folder; ``CURRENT`` names the live one and is replaced by a rename, so readers see
-the old table or the new one. Nothing is deleted in place.
+A snapshot is a folder; numbered manifests name them, and the one of the greatest number is live. A
+manifest appears whole or not at all and a number is taken once, so readers always see a table and
+of two writers one fails. Nothing is deleted in place.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -14,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quernstone.operators.incremental import put_once
+
 
 def one_per_key(df: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Exact duplicates of a key are one row; of different ones the greatest hash."""
@@ -21,6 +25,21 @@ def one_per_key(df: DataFrame, key: str = "chunk_id") -> DataFrame:
     return df.where(F.col(key).isNotNull()).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+COLUMNS = "chunk_id string, url string, title string, page_type string, content_hash string, text string, chunk_index int, source string, is_faq boolean, vector array<float>"
+
+
+def typed(rows: DataFrame) -> DataFrame:
+    """The index's columns in their types, missing ones null; other columns are left out."""
+    names = [c.split()[0:2] for c in COLUMNS.split(", ")]
+    if not {"text", "url"} <= set(rows.columns):
+        return rows
+    return rows.select(*((F.col(n) if n in rows.columns else F.lit(None)).cast(kind).alias(n) for n, kind in names))
+
+
+def overview_count(chunks: DataFrame) -> DataFrame:
+    return chunks.agg(F.count("*").alias("chunks"), F.count_if(F.col("source") == "overview").alias("overview"))
+
+
 def upsert_actions(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """(chunk_id, url, action): added, updated, skipped, orphaned, or kept for urls outside the batch."""
     old = one_per_key(existing).select("chunk_id", F.col("url").alias("old_url"), F.coalesce("content_hash", F.lit("")).alias("old_hash"))
@@ -75,32 +94,46 @@ class ChunkIndex:
     def _p(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
-    def _read(self, name: str) -> str | None:
-        if not self._fs.exists(self._p(name)):
+    def _numbers(self) -> list[int]:
+        if not self._fs.exists(self._jvm.org.apache.hadoop.fs.Path(self.path)):
+            return []
+        names = (x.getPath().getName() for x in self._fs.listStatus(self._jvm.org.apache.hadoop.fs.Path(self.path)))
+        return sorted(int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json"))
+
+    def _live(self) -> dict | None:
+        numbers = self._numbers()
+        if not numbers:
             return None
-        s = self._fs.open(self._p(name))
+        stream = self._fs.open(self._p(f"manifest-{numbers[-1]:012d}.json"))
         try:
-            return self._jvm.org.apache.commons.io.IOUtils.toString(s, "UTF-8")
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
-            s.close()
+            stream.close()
+
+    def exists(self) -> bool:
+        return self._live() is not None
 
     def meta(self) -> IndexMeta | None:
-        text = self._read("CURRENT")
-        return IndexMeta(**json.loads(text)["meta"]) if text else None
+        live = self._live()
+        return IndexMeta(**live["meta"]) if live else None
 
     def read(self) -> DataFrame | None:
-        text = self._read("CURRENT")
-        return self.spark.read.parquet(f"{self.path}/{json.loads(text)['snapshot']}") if text else None
+        live = self._live()
+        return self.spark.read.parquet(f"{self.path}/{live['snapshot']}") if live else None
 
     def _publish(self, df: DataFrame, meta: IndexMeta) -> None:
+        number = (self._numbers() or [0])[-1] + 1
         name = f"snapshot-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{name}")
         meta.chunk_count = self.spark.read.parquet(f"{self.path}/{name}").count()
-        out = self._fs.create(self._p(f".{name}"), False)
-        out.write(bytearray(json.dumps({"snapshot": name, "meta": asdict(meta)}).encode()))
-        out.close()
-        self._fs.delete(self._p("CURRENT"), False)
-        self._fs.rename(self._p(f".{name}"), self._p("CURRENT"))
+        put_once(self.spark, f"{self.path}/manifest-{number:012d}.json", json.dumps({"snapshot": name, "meta": asdict(meta)}))
+
+    def rebuild(self, rows: DataFrame, provider: str = "hash", model: str = "hash", dims: int = 64) -> int:
+        """The table anew from these rows; an empty table changes nothing."""
+        if rows.isEmpty():
+            return 0
+        self._publish(typed(one_per_key(rows)), IndexMeta(provider, model, dims))
+        return self.meta().chunk_count
 
     def upsert(self, incoming: DataFrame, provider: str = "hash", model: str = "hash", dims: int = 64) -> dict[str, int]:
         """Counts by action. An empty batch changes nothing; another embedder than the table's is refused."""
@@ -128,14 +161,14 @@ class ChunkIndex:
             self._publish(delete_urls(old, urls), meta)
         return n
 
-    def expire(self, keep: int = 1) -> int:
-        """Delete older snapshots than the newest ``keep``; the live one always stays."""
-        text = self._read("CURRENT")
-        if not text:
+    def expire(self, keep: int = 1, older_than: float | None = None, now: float | None = None) -> int:
+        """Delete snapshots that are neither live nor among the newest ``keep``, and, with an age in seconds, only older ones."""
+        live = self._live()
+        if live is None:
             return 0
-        live = json.loads(text)["snapshot"]
-        found = sorted(((s.getModificationTime(), s.getPath().getName()) for s in self._fs.listStatus(self._jvm.org.apache.hadoop.fs.Path(self.path)) if s.getPath().getName().startswith("snapshot-")), reverse=True)
-        old = [n for _, n in found if n != live][max(0, keep - 1) :]
+        at = (time.time() if now is None else now) * 1000
+        found = sorted(((x.getModificationTime(), x.getPath().getName()) for x in self._fs.listStatus(self._jvm.org.apache.hadoop.fs.Path(self.path)) if x.getPath().getName().startswith("snapshot-")), reverse=True)
+        old = [n for t, n in [f for f in found if f[1] != live["snapshot"]][max(0, keep - 1) :] if older_than is None or at - t > older_than * 1000]
         for n in old:
             self._fs.delete(self._p(n), True)
         return len(old)

@@ -2,20 +2,36 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.operators.incremental import changed_listings, changed_versions, clean_hash, clean_url, commit_of_runs, instant
-from quernstone.runtime import table
+from quernstone.operators.incremental import CommitLog, changed_listings, changed_runs, changed_versions, clean_hash, clean_url, commit_of_runs, instant
+from quernstone.runtime import cut, shared_dir, table
 
 
-def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(kind, run_id, item): chunks and URLs new or changed in each successful run."""
+def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     reports = table(spark, sf_dir, "crawl_reports")
     versions = table(spark, sf_dir, "chunk_runs").select("run_id", "chunk_id", "edit_seq", clean_hash(F.col("content_hash")).alias("hash"))
     listed = table(spark, sf_dir, "discovered").select("run_id", clean_url(F.col("url")).alias("item"), instant(F.col("lastmod")).alias("at"))
     base = table(spark, sf_dir, "chunks").select("chunk_id", clean_hash(F.col("content_hash")).alias("hash"))
-    commits = commit_of_runs([versions, listed], reports)
+    return versions, listed, base, commit_of_runs([versions, listed], reports)
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, run_id, item): chunks and URLs new or changed in each successful run, each run a commit of its own."""
+    versions, listed, base, commits = _inputs(spark, sf_dir)
+    log = CommitLog(spark, f"{shared_dir(spark)}/increments-{uuid.uuid4().hex}")
+    chunks, urls = changed_runs(
+        log, versions.select("run_id", F.col("chunk_id").alias("item"), F.col("edit_seq").alias("o"), F.col("hash").alias("v")), listed, base.select(F.col("chunk_id").alias("item"), F.col("hash").alias("v")), cut(commits)
+    )
+    return chunks.select(F.lit("chunk").alias("kind"), F.col("commit_run").alias("run_id"), "item").unionByName(urls.select(F.lit("url").alias("kind"), F.col("commit_run").alias("run_id"), "item"))
+
+
+def by_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the whole history at once."""
+    versions, listed, base, commits = _inputs(spark, sf_dir)
     chunks = changed_versions(versions, commits, base, "chunk_id", "edit_seq", "hash")
     urls = changed_listings(listed, commits, "item", "at")
     return chunks.select(F.lit("chunk").alias("kind"), F.col("commit_run").alias("run_id"), F.col("chunk_id").alias("item")).unionByName(

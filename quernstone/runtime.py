@@ -14,12 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: ``spark.checkpoint.dir``, or a fresh local one where it is unset (tests)."""
+    """Folder all executors share: ``spark.checkpoint.dir``, or a fresh local one where it is unset and the master is local (tests)."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(given)
         return given
+    if spark.sparkContext.getCheckpointDir() is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quernstone-"))
     return spark.sparkContext.getCheckpointDir()

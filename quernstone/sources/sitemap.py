@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernstone.functions import url as U
+from quernstone.operators.crawl import merge_missing
 
 DISCOVERED = T.StructType(
     [T.StructField(n, t) for n, t in (("url", T.StringType()), ("lastmod", T.StringType()), ("priority", T.DoubleType()), ("changefreq", T.StringType()), ("source", T.StringType()), ("page_type", T.StringType()))]
@@ -43,6 +44,26 @@ def expand_index(index: DataFrame, files: DataFrame) -> DataFrame:
     return parse_urlset(parse_index(index).withColumnRenamed("loc", "url").join(files, "url").select("xml"))
 
 
+def discover(files: DataFrame, root: str, blog: str | None = None) -> DataFrame:
+    """All urls of a site from fetched files (url, xml): the root's own, or those of its children if it is an index, one level deep.
+
+    A root that is no index gets the blog's entries it lacks, those of a blog index's children included.
+    Files that are missing or aren't XML give nothing.
+    """
+    def tree(at: str, source: str | None) -> DataFrame:
+        top = files.where(F.col("url") == at).select("xml")
+        child = parse_index(top).join(files.withColumnRenamed("url", "loc"), "loc").select("loc", "xml")
+        label = F.lit(source) if source else U.source_label(F.col("loc"))
+        own = parse_urlset(top, source=source or ("blog-sitemap" if "blog" in at.lower() else "sitemap"))
+        below = child.where(sitemap_kind(F.col("xml")) == "urlset").select(label.alias("label"), "xml")
+        return own.unionByName(parse_urlset(below.where("label = 'sitemap'").select("xml"), source="sitemap")).unionByName(parse_urlset(below.where("label = 'blog-sitemap'").select("xml"), source="blog-sitemap"))
+
+    urls = tree(root, None)
+    if blog is None or files.where((F.col("url") == root) & (sitemap_kind(F.col("xml")) == "urlset")).isEmpty():
+        return urls
+    return merge_missing(urls, tree(blog, "blog-sitemap"))
+
+
 def save_discovered(df: DataFrame, path: str) -> None:
     df.select(*DISCOVERED.names).write.mode("overwrite").json(path)
 
@@ -61,5 +82,10 @@ def save_pages(fetches: DataFrame, path: str) -> None:
     fetches.withColumn("url_hash", U.url_hash(F.col("url"))).write.mode("overwrite").parquet(path)
 
 
+def listed_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(url_hash, url) of what is stored; the pages themselves aren't read."""
+    return spark.read.parquet(path).select("url_hash", "url")
+
+
 def load_page(spark: SparkSession, path: str, url: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("url_hash") == U.url_hash(F.lit(url)))

@@ -72,7 +72,7 @@ def test_chat(spark):
     body = one(spark, F.concat(C.sse(F.lit("answer"), F.lit("{}")), F.lit("event: x\ndata: 1")), t="")
     assert one(spark, C.sse_events(F.col("b")), b=body) == [("answer", "{}")]
     df = spark.createDataFrame([("one two three\n\nfour",), (None,)], "t string").select(C.answer_tokens("t").alias("x")).collect()
-    assert "".join(df[0].x) == "one two three\n\nfour" and df[1].x is None
+    assert df[0].x == ["one two ", "three ", "\n", "four"] and df[1].x is None
     waits = spark.createDataFrame([("5", 0), (None, 2), ("invalid", 1), ("0", 0)], "h string, n int")
     assert [r.x for r in waits.select(C.retry_wait(F.col("h"), F.col("n"), F.current_timestamp()).alias("x")).collect()] == [5.0, 4.0, 2.0, 0.0]
 
@@ -86,7 +86,11 @@ def test_drop_alert(spark):
 def test_robots():
     rules, delay = crawl.robots_rules("User-agent: *\nDisallow: /a\nAllow: /\nCrawl-delay: 2\n\nUser-agent: bot\nAllow: /")
     assert rules == [("/a", False), ("/", True)] and delay == 2.0
-    assert crawl.robots_rules("", "x") == ([], None)
+    assert crawl.robots_rules("", "x") == ([], 1.0) == crawl.robots_rules(None)
+    # the agent's own rules with the delay of *; a rule without a path allows everything
+    text = "User-agent: *\nCrawl-delay: 3\nDisallow: /x\n\nUser-agent: Bot\nUser-agent: other\nDisallow:\nDisallow: /y"
+    assert crawl.robots_rules(text, "bot/1.0") == ([("", True), ("/y", False)], 3.0)
+    assert crawl.robots_rules(text, "nobody") == ([("/x", False)], 3.0)
 
 
 def test_sitemap(spark, tmp_path):
@@ -106,11 +110,27 @@ def test_chunking_keeps_all():
     for _ in range(200):
         paras = [" ".join("w%d" % rng.randrange(99) for _ in range(rng.choice([5, 60, 300, 1200]))) + "." for _ in range(rng.randrange(1, 9))]
         pieces = chunking.cut_section("\n\n".join(paras))
-        assert all(0 < len(p) <= chunking.MAX for p in pieces)
+        # a piece short of its least size takes one more paragraph, whatever its length
+        assert all(0 < len(p) <= chunking.MAX + chunking.MIN + chunking.OVERLAP for p in pieces)
         words = " ".join(pieces).split()
         for p in paras:
             assert all(w.rstrip(".") in {x.rstrip(".") for x in words} for w in p.split())
-    assert chunking.cut_section("") == []
+    assert chunking.cut_section("") == [""]
+
+
+def test_chunk_sizes():
+    most, least, lap = 100, 60, 20
+    cut = lambda t: chunking.cut_section(t, most, least, lap)
+    assert cut("x" * 100) == ["x" * 100]
+    # a paragraph that is too long is cut at exactly the size, with the raw tail as overlap
+    assert cut("a" * 250) == ["a" * 100, "a" * 100, "a" * 90]
+    # a piece ends before the paragraph that doesn't fit and hands on the sentence that begins in its tail
+    first = "b" * 60 + ". " + "Tail here."
+    assert cut(f"{first}\n\n{'c' * 50}") == [first, "Tail here.\n\n" + "c" * 50]
+    # single line ends are no paragraph; a short rest stays apart where the last piece has no room
+    assert cut(f"{'d' * 90}\n\n{'e' * 30}") == ["d" * 90, "d" * 20 + "\n\n" + "e" * 30]
+    # what is too short to end is joined, and cut at the end
+    assert cut(f"{'f' * 40}\n\n{'g' * 90}") == ["f" * 40 + "\n\n" + "g" * 58, "g" * 20 + "g" * 32]
 
 
 def test_upsert(spark, tmp_path):

@@ -71,3 +71,82 @@ def test_empty(spark, tmp_path):
     for name in ("crawl_reports", "chunk_runs", "discovered", "chunks"):
         duckdb.sql(f"copy (select * from '/root/testdata/sf0.001/{name}.parquet' limit 0) to '{tmp_path}/{name}.parquet'")
     assert increments.found(spark, str(tmp_path)).count() == 0
+
+
+def history(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    runs = [f"r{i}" for i in range(6)]
+    reports = [(r, "x" if rng.random() < 0.8 else None, rng.random() < 0.3) for r in runs] + [("r5", "x", False)]
+    edits = {}
+    records = [(rng.choice(runs + ["r2b", "r9"]), f"c{rng.randrange(6)}", rng.randrange(30)) for _ in range(80)]
+    records = [(r, c, s, edits.setdefault((c, s), rng.choice(["a", "b", None]))) for r, c, s in records]
+    base = {"c1": "a", "c2": "b", "c7": "z"}
+    rep = spark.createDataFrame(reports, "run_id string, finished_at string, partial boolean")
+    rec = spark.createDataFrame(records, "run_id string, item string, o long, v string")
+    listed = rec.select("run_id", "item", F.timestamp_seconds("o").alias("at"))
+    return reports, records, base, rec, listed, spark.createDataFrame(list(base.items()), "item string, v string"), I.commit_of_runs([rec], rep)
+
+
+def windows(rec, listed, commits):
+    urls = I.changed_listings(listed, commits, "item", "at")
+    return {(r.commit_run, r.item) for r in urls.collect()}
+
+
+@pytest.mark.parametrize("crash", range(5))
+def test_runs_of_a_history_survive_a_crash_anywhere(spark, tmp_path, monkeypatch, crash):
+    """The process dies at its n-th write or publication; the next one takes up where the log stands."""
+    reports, records, base, rec, listed, old, commits = history(spark, crash)
+    log = I.CommitLog(spark, str(tmp_path / "log"))
+    left = [crash * 2 + 1]
+    real = I.put_once
+
+    def dying(*args):
+        left[0] -= 1
+        if left[0] == 0:
+            raise OSError("lost")
+        return real(*args)
+
+    def writing(self, path, *args, **kw):
+        left[0] -= 1
+        if left[0] == 0:
+            raise OSError("lost")
+        return parquet(self, path, *args, **kw)
+
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    parquet = DataFrameWriter.parquet
+    monkeypatch.setattr(I, "put_once", dying)
+    monkeypatch.setattr(DataFrameWriter, "parquet", writing)
+    with pytest.raises(OSError):
+        for _ in range(9):
+            I.changed_runs(log, rec, listed, old, commits)
+            log = I.CommitLog(spark, str(tmp_path / f"log{_}"))
+    versions, urls = I.changed_runs(log, rec, listed, old, commits)
+    got = [(r.commit_run, r.item) for r in versions.collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(reports, records, base)
+    assert {(r.commit_run, r.item) for r in urls.collect()} == windows(rec, listed, commits)
+
+
+def test_two_writers(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    log = I.CommitLog(spark, str(tmp_path / "log"))
+
+    def publish(n):
+        try:
+            log.publish(I.Commit(1, n, {}))
+            return n
+        except RuntimeError:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [n for n in pool.map(publish, range(24)) if n is not None]
+    assert len(won) == 1 and [c.watermark for c in log.commits()] == won
+
+
+def test_operator_and_windows_agree(spark):
+    d = "/root/testdata/sf0.001"
+    key = lambda df: sorted((r.kind, r.run_id, r.item) for r in df.collect())
+    assert key(increments.found(spark, d)) == key(increments.by_windows(spark, d))

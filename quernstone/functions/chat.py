@@ -195,7 +195,8 @@ def detect_language(text: Column, default: str = "en") -> Column:
     """ISO 639-1 code: by script if a quarter of the letters are of one, else by the number of frequent words; the default without evidence. Ties go to the language listed first."""
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
     words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
-    hits = {k: F.size(F.filter(words, lambda w, ws=ws: w.isin(ws))) for k, ws in COMMON_WORDS.items()}
+    count = lambda ws: F.size(F.filter(words, lambda w: w.isin(ws)))
+    hits = {k: count(ws) for k, ws in COMMON_WORDS.items()}
     best = F.greatest(*hits.values())
     out = F.when(best > 0, F.coalesce(*(F.when(n == best, F.lit(k)) for k, n in hits.items()))).otherwise(default)
     for k, chars in reversed(SCRIPTS.items()):

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import text as T
 from quernstone.functions import url as U
 from quernstone.operators import crawl, graph
+from quernstone.runtime import cut
 
 # What elements' classes and ids say about them.
 BOILERPLATE = re.compile(r"(nav|menu|footer|footer-widget|header|cookie|consent|banner|sidebar|breadcrumb|widget|modal|overlay|popup|social|share)", re.IGNORECASE)
@@ -249,5 +250,6 @@ def normalized(docs: DataFrame, extra: DataFrame | None = None, collapse: bool =
     once = crawl.dedupe_docs(keyed)
     if not collapse:
         return once.drop("ord")
+    once = cut(once)  # pages are read once
     groups = graph.near_duplicate_groups(once, "ord", "markdown", threshold)
     return graph.collapse(once, groups).drop("ord")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernstone.plans import increments, queries
+from quernstone.plans import increments, pages, queries, talk  # noqa: F401  pages and talk add their queries to those of ``queries``
 
 QUERIES = {**queries.QUERIES, "p3_found": increments.found}
 ORACLES = {**queries.ORACLES, "p3_found": increments.FOUND_SQL}

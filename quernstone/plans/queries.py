@@ -328,11 +328,11 @@ def _embedded(spark, d):
 WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT q.query_id, e.vec_id AS id, round(sqrt((SELECT sum(power(CAST(a AS DOUBLE) - CAST(b AS DOUBLE), 2)) FROM (SELECT unnest(q.v) AS a, unnest(e.embedding) AS b))), 6) AS distance FROM q, embeddings e),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM s)
-SELECT query_id, id, round(distance, 4) AS distance FROM r WHERE rank <= 20""")
+SELECT query_id, id, distance FROM r WHERE rank <= 20""")
 def vector_search(spark, d):
     e = _embedded(spark, d)
     found = retrieval.vector_top_k(e, e.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector"))
-    return found.select("query_id", "id", F.round("distance", 4).alias("distance"))
+    return found.select("query_id", "id", "distance")
 
 
 BM25 = r"""
@@ -352,9 +352,9 @@ def _bm25(spark, d):
     return retrieval.bm25_top_k(docs.select("doc_id", "text"), docs.where("doc_id % 100 = 0 and title is not null").select(F.col("doc_id").alias("query_id"), F.col("title").alias("query")))
 
 
-@query(BM25 + "SELECT query_id, doc_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 20")
+@query(BM25 + "SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 20")
 def text_search(spark, d):
-    return _bm25(spark, d).select("query_id", "doc_id", F.round("score", 4).alias("score"))
+    return _bm25(spark, d).select("query_id", "doc_id", "score")
 
 
 @query(r"SELECT term, count(*) AS docs, CAST(sum(tf) AS BIGINT) AS uses FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents WHERE text IS NOT NULL) GROUP BY ALL) GROUP BY term")

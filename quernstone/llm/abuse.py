@@ -28,10 +28,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.linear import Rows, bucket, sigmoid, threshold, train
+from quernstone.llm.linear import Rows, sigmoid, threshold, train
+from quernstone.llm.repeats import mix
 from quernstone.runtime import table
 
 KINDS = ("abuse", "hate", "sexual")
@@ -70,14 +72,18 @@ Der Filter erkennt Beleidigungen und Nacktbilder.|Frauen und Männer füllen das
 }
 
 
+FORMATS = dict.fromkeys(c for r in (range(0x20000), range(0xE0000, 0xE0100)) for c in r if unicodedata.category(chr(c)) == "Cf")  # there are no others
+BLANKS = re.compile(r"(\s+)")
+MASKED = re.compile(r"[013457@$|!]")
+
+
 def plain(text: str) -> str:
-    t = unicodedata.normalize("NFKC", text)
+    t = text
     if not t.isascii():
-        t = "".join(c for c in t if unicodedata.category(c) != "Cf")
+        t = unicodedata.normalize("NFKC", t).translate(FORMATS)
     t = t.lower()
 
-    def word(m: re.Match) -> str:
-        w = m[0]
+    def word(w: str) -> str:
         latin = sum("a" <= c <= "z" for c in w)
         if not w.isascii() and latin:
             w = w.translate(LOOKALIKES)
@@ -86,7 +92,8 @@ def plain(text: str) -> str:
             w = re.sub(r"[013457@$|!]+(?=\W*$)|.", lambda k: k[0].translate(LEET) if "!" not in k[0] or k.end() < len(w) else k[0], w)
         return w
 
-    t = re.sub(r"[^\s]+", word, t)
+    if not t.isascii() or MASKED.search(t):
+        t = "".join([w if w.isascii() and (w.isalpha() or not MASKED.search(w)) else word(w) for w in BLANKS.split(t)])
     t = JOINED.sub(lambda m: re.sub(r"[.\-_*·•' ]", "", m[0]), t)
     return re.sub(r"([^\W\d_])\1{2,}", r"\1\1", t)
 
@@ -146,30 +153,62 @@ def sentences(text: str | None) -> list[list[str]]:
     return out
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    words = [w if not w.isdigit() else "#" for w in words]
-    idx = [bucket("1 " + w, BITS) for w in words]
-    idx += [bucket(f"2 {a} {b}", BITS) for a, b in zip(words, words[1:])]
-    idx += [bucket(f"3 {a} {b} {c}", BITS) for a, b, c in zip(words, words[1:], words[2:])]
-    val = [1 / np.sqrt(len(words))] * len(idx)
-    count = Counter(k for w in words for k in themes_of(w))
+_words: dict[str, tuple[int, int]] = {}
+THEME_BIT = {k: 1 << j for j, k in enumerate(THEMES)}
+
+
+def hashed(words: list[str]) -> list[tuple[int, int]]:
+    """Hash and themes of each word, kept for the next time."""
+    out = []
+    for w in words:
+        if (hit := _words.get(w)) is None:
+            if len(_words) > 200_000:
+                _words.clear()
+            hit = _words[w] = xxhash.xxh3_64_intdigest(w), sum(THEME_BIT[k] for k in themes_of(w))
+        out.append(hit)
+    return out
+
+
+PAIRED = (("insult", "you"), ("threat", "you"), ("group", "degrade"), ("sexual", "you"), ("group", "insult"), ("insult", "neutral"), ("sexual", "neutral"))
+
+
+def all_features(sentences_: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Features of many sentences at once: hashes of words, pairs and triples, and counts of themes."""
+    n = np.array([len(s) for s in sentences_], np.int64)
+    flat = np.array(hashed([w if not w.isdigit() else "#" for s in sentences_ for w in s]), np.uint64).reshape(-1, 2)
+    h, bits = flat[:, 0], flat[:, 1]
+    start = np.cumsum(n) - n
+    of = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(h)) - start[of]
+    idx, row = [], []
+    with np.errstate(over="ignore"):
+        gram = mix(h)
+        for k in (1, 2, 3):
+            at = np.flatnonzero(place <= n[of] - k)
+            idx.append((mix(gram[at] + np.uint64(k)) & np.uint64(DENSE - 1)).astype(np.int32))
+            row.append(of[at])
+            gram[: len(h) - k] = mix(gram[: len(h) - k] * np.uint64(0x2545F4914F6CDD1D) + h[k:]) if len(h) > k else gram[: len(h) - k]
+    val = [(1 / np.sqrt(n[r])).astype(np.float32) for r in row]
+    count = {k: np.bincount(of, (bits >> np.uint64(j)) & np.uint64(1), len(n)) for j, k in enumerate(THEMES)}
+
+    def dense(at: int, rows: np.ndarray, v) -> None:
+        idx.append(np.full(len(rows), at, np.int32))
+        row.append(rows)
+        val.append(np.broadcast_to(np.asarray(v, np.float32), len(rows)))
+
     for j, k in enumerate(THEMES):
-        if count[k]:
-            idx.append(DENSE + j)
-            val.append(min(count[k], 3) / 2)
-    for j, (a, b) in enumerate((("insult", "you"), ("threat", "you"), ("group", "degrade"), ("sexual", "you"), ("group", "insult"), ("insult", "neutral"), ("sexual", "neutral"))):
-        if count[a] and count[b]:
-            idx.append(DENSE + 10 + j)
-            val.append(1.0)
-    if count["sexual"] >= 2:
-        idx.append(DENSE + 18)
-        val.append(1.0)
-    if count["insult"] >= 2:
-        idx.append(DENSE + 19)
-        val.append(1.0)
-    idx.append(SIZE - 1)
-    val.append(1.0)
-    return np.array(idx, np.int32), np.array(val, np.float32)
+        some = np.flatnonzero(count[k])
+        dense(DENSE + j, some, np.minimum(count[k][some], 3) / 2)
+    for j, (a, b) in enumerate(PAIRED):
+        dense(DENSE + 10 + j, np.flatnonzero((count[a] > 0) & (count[b] > 0)), 1)
+    dense(DENSE + 18, np.flatnonzero(count["sexual"] >= 2), 1)
+    dense(DENSE + 19, np.flatnonzero(count["insult"] >= 2), 1)
+    dense(SIZE - 1, np.arange(len(n)), 1)
+    i, r, v = np.concatenate(idx), np.concatenate(row), np.concatenate(val)
+    order = np.argsort(r, kind="stable")
+    i, v = i[order], v[order]
+    cuts = np.cumsum(np.bincount(r, minlength=len(n)))[:-1]
+    return list(zip(np.split(i, cuts), np.split(v, cuts))) if len(n) else []
 
 
 def with_chain(rows: list[tuple[np.ndarray, np.ndarray]], earlier: np.ndarray) -> Rows:
@@ -220,8 +259,8 @@ def fit(docs: list[tuple[str, str | None]]) -> Chain:
             seg_words.append(s)
             seg_doc.append(len(labels) - 1)
     seeds = [(w, k) for k, block in SEEDS.items() for s in re.split(r"[|\n]", block) for w in sentences(s)]
-    rows = [features(w) for w in seg_words]
-    seed_rows = [features(w) for w, _ in seeds]
+    rows = all_features(seg_words)
+    seed_rows = all_features([w for w, _ in seeds])
     seed_y = np.array([[float(k == x) for x in KINDS] for _, k in seeds], np.float32)
     doc = np.array(seg_doc, np.int64)
     judged = np.array([lab in KINDS for lab in labels], bool) if labels else np.zeros(0, bool)
@@ -270,13 +309,13 @@ def fit(docs: list[tuple[str, str | None]]) -> Chain:
 def document_scores(chain: Chain, texts: list[str | None]) -> np.ndarray:
     """(documents, kinds): the worst sentence's probabilities."""
     out = np.zeros((len(texts), len(KINDS)), np.float32)
-    rows, of = [], []
+    found, of = [], []
     for i, t in enumerate(texts):
-        for s in sentences(t):
-            rows.append(features(s))
-            of.append(i)
-    if rows:
-        np.maximum.at(out, np.array(of), chain.score(rows))
+        part = sentences(t)
+        found += part
+        of += [i] * len(part)
+    for k in range(0, len(found), 4096):  # long texts in portions
+        np.maximum.at(out, np.array(of[k : k + 4096]), chain.score(all_features(found[k : k + 4096])))
     return out
 
 
@@ -289,8 +328,7 @@ def training_docs(docs: DataFrame, judgements: DataFrame) -> list[tuple[str, str
     judged = judged.orderBy((F.col("label") == "ok").cast("int"), "h").limit(LABELLED_DOCS).select("text", "label").collect()
     n = docs.count()
     part = text.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, SAMPLE_DOCS / max(1, n)) * 1_000_000)).orderBy("doc_id").limit(SAMPLE_DOCS).select("text").collect()
-    # long texts count with their first and last sentences in training only
-    return [(r.text[:6000], r.label if r.label in KINDS else None) for r in judged] + [(r.text[:6000], None) for r in part]
+    return [(r.text, r.label if r.label in KINDS else None) for r in judged] + [(r.text, None) for r in part]
 
 
 def scores(docs: DataFrame, judgements: DataFrame) -> tuple[DataFrame, list[float]]:

@@ -6,13 +6,14 @@
    repeats; a source without texts, or too small for the common size, gives all it may, and its
    deficit is reported. ``total`` may ask for less.
 3. Per source, the budget is filled exactly: whole rounds of all texts first, then a selection by
-   length counts. How many texts there are of each length is all that is needed: longest lengths are
-   taken whole by seeded order until what is left is small, and a bounded-knapsack dynamic program
-   over length counts hits the rest as nearly as any subset can.
-4. Among texts of one length, a seeded hash decides.
-
-Only (source, length, count) reaches the driver: at most sources x distinct lengths rows, the number
-of lengths being bounded by the longest text; that bound is checked. Null and empty texts have no
+   length counts. How many texts there are of each length is all that is needed: most is taken of all
+   lengths in proportion, and a bounded-knapsack dynamic program over length counts hits the rest as
+   nearly as any subset can.
+4. Among texts of one length, a seeded hash decides. Texts of a length are counted by the hash's first
+   bits; only those of the bits in which the choice ends are ranked, so no length is gathered in a task.
+
+Only (source, length, count) of the target sources reaches the driver, in columns: a row for each length
+that occurs, of which a source has no more than its longest text has tokens. Null and empty texts have no
 tokens and are never chosen. Sources are compared trimmed and in lower case. Sources without target
 are left out. Empty tables give empty results. ``documents`` columns other than doc_id, source and
 text aren't read.
@@ -20,6 +21,7 @@ text aren't read.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,8 +33,8 @@ from quernstone.llm.encoding import encode_corpus
 from quernstone.runtime import cut, kept, table
 
 SEED = 17
-MAX_LENGTHS = 5_000_000  # rows of (source, length, count) on the driver
-KNAPSACK = 1 << 16  # tokens of the budget that the dynamic program fits
+KNAPSACK = 1 << 16  # tokens of the budget that the dynamic program fits at first
+PLACES = 10  # bits of the seeded hash by which texts of one length are ranked without being gathered
 
 
 def spelled(col: Column) -> Column:
@@ -41,24 +43,37 @@ def spelled(col: Column) -> Column:
 
 
 def fill(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """How many texts of each length to take so that their sum comes nearest to the budget from below.
+    """How many texts of each length to take so that their sum comes as near to the budget, from below, as any choice can.
 
     Most of the budget is taken from all lengths in proportion, so that the choice keeps the
-    source's mix of lengths; a bounded-knapsack program (binary splitting of the counts) fits the rest.
+    source's mix of lengths; a bounded-knapsack program fits the rest. No sum can pass the greatest multiple of
+    the lengths' common divisor within the budget: if the program misses that, it gets a larger part of the
+    budget, in the end all of it.
     """
-    total = sum(n * c for n, c in counts.items())
-    if budget >= total:
+    if budget >= sum(n * c for n, c in counts.items()):
         return dict(counts)
-    rest_want = min(budget, KNAPSACK)
+    divisor = math.gcd(*(n for n, c in counts.items() if c)) or 1
+    part = KNAPSACK
+    while True:
+        taken = _fill(counts, budget, part)
+        if part >= budget or sum(n * c for n, c in taken.items()) == budget - budget % divisor:
+            return taken
+        part *= 8
+
+
+def _fill(counts: dict[int, int], budget: int, part: int) -> dict[int, int]:
+    """A choice whose last ``part`` tokens are fitted exactly."""
+    total = sum(n * c for n, c in counts.items())
+    rest_want = min(budget, part)
     share = max(0, budget - rest_want) / total if total else 0
     taken = {n: int(c * share) for n, c in counts.items()}
     rest = budget - sum(n * c for n, c in taken.items())
     left = {n: c - taken[n] for n, c in counts.items() if c > taken[n] and n <= rest}
     # what the program may fit is bounded: beyond it, longest first
     for n in sorted(left, reverse=True):
-        if rest <= KNAPSACK:
+        if rest <= part:
             break
-        k = min(left[n], (rest - KNAPSACK) // n)
+        k = min(left[n], (rest - part) // n)
         taken[n] += k
         left[n] -= k
         rest -= n * k
@@ -124,21 +139,23 @@ def mixture(docs: DataFrame, targets: DataFrame, total: int | None = None, count
     # a text is one item of its source, whatever the number of its copies: its smallest id stands for it
     digest = F.sha2("text", 256)
     one = rows.groupBy("source", digest.alias("digest")).agg(F.min("doc_id").alias("doc_id")).select("source", "doc_id")
-    n = counts if counts is not None else encode_corpus(docs.where(F.length("text") > 0), counts_only=True)
+    n = counts if counts is not None else encode_corpus(rows, counts_only=True)
     items = cut(one.join(n.groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens")), "doc_id").where("n_tokens > 0").select("source", "doc_id", "n_tokens"))
-    hist = items.groupBy("source", "n_tokens").count()
-    if hist.count() > MAX_LENGTHS:
-        raise ValueError("more distinct text lengths than the planner's bound")
-    lengths: dict[str, dict[int, int]] = {}
-    for r in hist.collect():
-        lengths.setdefault(r["source"], {})[r["n_tokens"]] = r["count"]
+    hist = items.groupBy("source", "n_tokens").count().toPandas()
+    lengths: dict[str, dict[int, int]] = {s: dict(zip(part["n_tokens"].tolist(), part["count"].tolist())) for s, part in hist.groupby("source")}
     p = plan_mixture(lengths, goal, total)
     take = spark.createDataFrame([(s, n_, c) for s, part in p.partial.items() for n_, c in part.items()] or [("", 0, 0)], "source string, n_tokens int, more int")
     rounds = spark.createDataFrame([(s, r) for s, r in p.rounds.items()] or [("", 0)], "source string, rounds int")
-    # the first of each length by seeded hash: only lengths with a partial choice are ranked
-    partial = items.join(take, ["source", "n_tokens"])
-    w = Window.partitionBy("source", "n_tokens").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id")
-    extra = partial.withColumn("nth", F.row_number().over(w)).where("nth <= more").select("source", "doc_id", F.lit(1).alias("extra"))
+    # the first of each length by seeded hash: whole ranges of it, and in the range where the choice ends row by row
+    mark = F.xxhash64(F.lit(SEED), "doc_id")
+    partial = items.join(take, ["source", "n_tokens"]).withColumn("mark", mark).withColumn("place", F.shiftright("mark", 64 - PLACES))
+    by = Window.partitionBy("source", "n_tokens").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    places = partial.groupBy("source", "n_tokens", "place").agg(F.count("*").alias("here"), F.first("more").alias("more")).withColumn("before", F.coalesce(F.sum("here").over(by), F.lit(0))).where("before < more")
+    near = partial.drop("more").join(places, ["source", "n_tokens", "place"])
+    whole = near.where("before + here <= more").select("source", "doc_id")
+    w = Window.partitionBy("source", "n_tokens", "place").orderBy("mark", "doc_id")
+    last = near.where("before + here > more").withColumn("nth", F.row_number().over(w)).where("before + nth <= more").select("source", "doc_id")
+    extra = whole.unionByName(last).withColumn("extra", F.lit(1))
     chosen = items.join(F.broadcast(rounds), "source").join(extra, ["source", "doc_id"], "left").withColumn("times", F.col("rounds") + F.coalesce("extra", F.lit(0))).where("times > 0").select("doc_id", "source", "n_tokens", "times")
     used = kept(chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("times")).alias("tokens"), F.count("*").alias("texts"), F.max("times").alias("most_times")))
     goals = spark.createDataFrame([(s, w_, m, p.budget[s]) for s, (w_, m) in goal.items()] or [], "source string, target_share double, max_repeats int, budget long")

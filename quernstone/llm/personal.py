@@ -115,6 +115,9 @@ FIRM = re.compile(r"\s+(?:&|Ltd|Inc|GmbH|AG|Labs?|Studio|Systems|Partners|LLC|SA
 COMMON = frozenset("the this that we our you your i it in on at for from and or but with when what who how why der die das ein eine wir ihr sie ich mit nach in im la le les el los las un una une des du en avec après con por para si no yes ja oui the please monday tuesday support".split())
 
 
+AT, DIGIT = re.compile(r"(?i)@|\bat\b|arobase|arroba|[(\[{<]at[)\]}>]"), re.compile(r"\d")
+
+
 def folded(word: str) -> str:
     """Lower case without accents, for comparing names."""
     w = unicodedata.normalize("NFD", word.lower()).replace("ø", "o").replace("ł", "l").replace("ß", "ss").replace("æ", "ae").replace("đ", "d").replace("ı", "i")
@@ -151,6 +154,8 @@ def phone_score(t: str, a: int, b: int) -> float:
     if not 7 <= len(digits) <= 15 or DATE.match(body) or (DOTTED.match(body) and not re.fullmatch(r"\d{2}(?:\.\d{2}){4}|(?:\d\.)?\d{3}\.\d{3}\.\d{4}", body)):
         return 0
     before = t[max(0, a - NEAR) : a]
+    if len(digits) >= 13 and body[0] in "3456" and luhn(digits):  # a payment card
+        return 0
     score = 0.1
     if re.match(r"\+\d|00\d\d?[ -]", body):
         score += 0.5
@@ -194,6 +199,8 @@ def id_score(raw: str, cued: bool, t: str, a: int) -> float:
         score += 0.5
     elif len(body) == 11 and body.isdigit():
         score += 0.2 * mod11_10(body)
+    elif len(body) in (9, 10) and body.isdigit():  # Canadian and Swedish numbers end with a Luhn digit
+        score += 0.2 * luhn(body)
     if NUMBER_OTHER.search(t[max(0, a - NEAR) : a]) and not cued:
         score -= 0.6
     return score
@@ -264,20 +271,21 @@ def spans(text: str | None, g: Gazetteer) -> list[Span]:
     if not text or not text.strip():
         return []
     t, at = plain(text)
-    found: list[Span] = [Span(m.start(), m.end(), "email", 1.0) for m in EMAIL.finditer(t)]
-    for rule in ADDRESS:
+    found: list[Span] = [Span(m.start(), m.end(), "email", 1.0) for m in EMAIL.finditer(t)] if AT.search(t) else []
+    number = DIGIT.search(t) is not None  # but for spoken numbers, nothing else goes without a digit
+    for rule in ADDRESS if number else ():
         for m in rule.finditer(t):
             if not NOT_ADDRESS.search(t[max(0, m.start() - 16) : m.start()]):
                 found.append(Span(m.start(), m.end(), "address", 0.95))
-    for rule in (ID_AFTER, ID_BEFORE):
+    for rule in (ID_AFTER, ID_BEFORE) if number else ():
         for m in rule.finditer(t):
             if (s := id_score(m[1], True, t, m.start(1))) >= ACCEPT:
                 found.append(Span(m.start(1), m.end(1), "id_number", s + 0.3))
-    for rule in (SSN, DNI, NIR, NINO):
+    for rule in (SSN, DNI, NIR, NINO) if number else ():
         for m in rule.finditer(t):
             if (s := id_score(m[0], False, t, m.start())) >= ACCEPT:
                 found.append(Span(m.start(), m.end(), "id_number", s))
-    for m in PHONE.finditer(t):
+    for m in PHONE.finditer(t) if number else ():
         if (s := phone_score(t, m.start(), m.end())) >= ACCEPT:
             found.append(Span(m.start(), m.end(), "phone", s))
     for m in SPOKEN.finditer(t):

@@ -179,3 +179,52 @@ def test_abuse():
     model = abuse.fit([(f"The team number {i} moves the server. It works well.", None) for i in range(60)] + [("The team moves. You are a stupid idiot.", "abuse")])
     p = abuse.document_scores(model, ["You pathetic idiot, shut your mouth.", "The team moves the server.", None, "", " ", "Free porn, hot naked girls. " + "The team moves. " * 3000])
     assert p[0, 0] > 0.3 > p[1, 0] and p[2:5].max() == 0 and p[5, 2] > 0.3
+
+
+def test_fill_beyond_the_program(monkeypatch):
+    """With a small program the choice is still the nearest one: lengths with a common divisor, and few long ones."""
+    import itertools
+    import random
+
+    monkeypatch.setattr(mixing, "KNAPSACK", 8)
+    rng = random.Random(5)
+    for unit in (1, 3, 10):
+        for _ in range(40):
+            items = [unit * rng.randrange(1, 40) for _ in range(rng.randrange(1, 9))]
+            counts = {n: items.count(n) for n in items}
+            budget = rng.randrange(0, sum(items) + 5)
+            got = mixing.fill(counts, budget)
+            assert all(0 < c <= counts[n] for n, c in got.items())
+            assert sum(n * c for n, c in got.items()) == max(s for r in range(len(items) + 1) for c in itertools.combinations(items, r) if (s := sum(c)) <= budget)
+
+
+def test_hot_length(spark, monkeypatch):
+    """Nearly all texts of one length: the seeded choice takes exactly so many."""
+    docs = spark.createDataFrame([(i, f"word {i:04d} here", "a") for i in range(3000)] + [(9000 + i, f"more words {i} stand here now", "b") for i in range(40)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    counts = docs.select("doc_id", mixing.F.size(mixing.F.split("text", " ")).alias("n_tokens"))
+    chosen, report = mixing.mixture(docs, targets, counts=counts)
+    a = next(r for r in report.collect() if r.source == "a")
+    assert a.budget - a.tokens < 3 and a.texts == a.budget // 3 and chosen.count() == chosen.select("doc_id").distinct().count()
+    again = mixing.mixture(docs.repartition(7), targets, counts=counts)[0]
+    assert {tuple(r) for r in chosen.collect()} == {tuple(r) for r in again.collect()}
+
+
+def test_cards_and_long_texts():
+    assert personal.spans("Call me: 4111 1111 1111 1111", G) == []
+    assert [s.kind for s in personal.spans("My personnummer is 811218 9876", G)] == ["id_number"]
+    # sentences far beyond any prefix count in training as well as in scoring
+    model = abuse.fit([(f"The team number {i} moves the server. It works well. " * 200 + "You are a stupid idiot.", "abuse") for i in range(3)] + [(f"The team number {i} moves the server. It works well.", None) for i in range(60)])
+    assert abuse.document_scores(model, ["The team moves the server. " * 900 + "You pathetic idiot, shut your mouth."])[0, 0] > 0.3
+
+
+def test_join_path_of_markdown(spark, monkeypatch):
+    from quernstone.llm import repeats
+
+    lines = ["Book a demo with our friendly crew today and save.", "Our bureau in the old harbour answers every letter."]
+    body = lambda i: f"# Title {i}\\n\\n" + " ".join(f"w{i}x{k}" for k in range(60)) + ".\\n\\n" + "\\n\\n".join(lines)
+    docs = spark.createDataFrame([(i, f"https://a.example/{i}", f"T{chr(97 + i)}", body(i)) for i in range(9)], "ord int, url string, title string, markdown string")
+    key = lambda: {(r.rec_id, r.block_head) for r in maincontent.markdown_articles(docs).collect()}
+    sent = key()
+    monkeypatch.setattr(repeats, "BROADCAST_KEYS", -1)
+    assert key() == sent and not any(h.startswith("Book a demo") for _, h in sent)

@@ -225,9 +225,11 @@ class Chain:
     def score(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         if not rows:
             return np.zeros((0, len(KINDS)), np.float32)
+        own = Rows(rows)
         out = np.zeros((len(rows), 0), np.float32)
         for w in self.weights:
-            out = np.hstack([out, sigmoid(with_chain(rows, out).dot(w))])
+            earlier = out @ w[DENSE + 24 : DENSE + 24 + out.shape[1]]  # the earlier kinds' probabilities are features
+            out = np.hstack([out, sigmoid(own.dot(w) + earlier)])
         return out
 
 

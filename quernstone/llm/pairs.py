@@ -19,6 +19,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,7 @@ ASKED = {
 }
 ASKING = re.compile(r"(?i)\b(?:answer|reply|respond|write|translat\w*|antwort\w*|schreib\w*|übersetz\w*|répon\w*|écri\w*|tradui\w*|respond\w*|contest\w*|escrib\w*|traduc\w*)\b")
 SCRIPTS = (("ru", 0x400, 0x52F), ("ar", 0x600, 0x6FF), ("hi", 0x900, 0x97F), ("ja", 0x3040, 0x30FF), ("zh", 0x4E00, 0x9FFF), ("ko", 0xAC00, 0xD7AF), ("el", 0x370, 0x3FF), ("he", 0x590, 0x5FF), ("th", 0xE00, 0xE7F))
+SCRIPTS_FROM = min(low for _, low, _ in SCRIPTS)
 
 #: how assistants decline, for synthetic refusals; {} takes words of the question
 REFUSALS = {
@@ -88,7 +90,7 @@ SHORT = {
     "es": ["{0} días", "{0} horas", "{0} {1}", "Sí", "No", "Unas {0} semanas", "Sí, {1}", "Desde {0} euros", "En {0} minutos"],
 }
 PLACEHOLDERS = frozenset("n/a na null none nil nan undefined tbd todo test empty leer vide vacío - -- — ... … [] {} () \"\" '' . ? ! x xxx <p></p> <br/> <br> #n/a missing".split())
-TAG = re.compile(r"<[^<>]{0,80}>")
+TAG, ALNUM = re.compile(r"<[^<>]{0,80}>"), re.compile(r"[^\W_]")
 TOKEN = re.compile(r"https?://\S+|[^\W_]+(?:['’-][^\W_]+)*|[^\w\s]|_")
 LABEL = re.compile(r"(?i)^\W*(?:q|a|question|answer|frage|antwort|pregunta|respuesta|réponse|you asked|you wrote|your question|sie fragten|ihre frage|vous avez demandé|votre question|su pregunta|usted preguntó)\s*:\s*")
 JOINING = frozenset("and or but the a an of to with for which that because und oder der die das mit für weil dass et ou le la les de des avec pour que qui parce y o el los las con para porque in on by un una une mit ein eine".split())
@@ -96,12 +98,13 @@ JOINING = frozenset("and or but the a an of to with for which that because und o
 
 def language(words: list[str], text: str, learned: dict[str, str] = {}) -> tuple[str, float]:  # noqa: B006
     """Most likely language and how clear it is; '' without evidence. learned: languages of further words."""
-    letters = [ord(c) for c in text if c.isalpha()]
-    if letters:
+    letters = [] if text.isascii() else [ord(c) for c in text if c.isalpha()]
+    others = [c for c in letters if c >= SCRIPTS_FROM]
+    if len(others) > 0.25 * len(letters):
         for name, low, high in SCRIPTS:
-            share = sum(low <= c <= high for c in letters) / len(letters)
+            share = sum(low <= c <= high for c in others) / len(letters)
             if share > 0.25:
-                return ("ja" if name == "zh" and any(0x3040 <= c <= 0x30FF for c in letters) else name), 1.0
+                return ("ja" if name == "zh" and any(0x3040 <= c <= 0x30FF for c in others) else name), 1.0
     score: dict[str, float] = {}
     for chars, k in (("¿¡ñ", "es"), ("ßäöü", "de"), ("çèêœàùë", "fr"), ("łąęśż", "pl"), ("ãõ", "pt")):
         if any(c in text for c in chars):
@@ -129,6 +132,8 @@ def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
     bare = TAG.sub("", answer)
+    if len(ALNUM.findall(bare[:400])) > max(map(len, PLACEHOLDERS)):
+        return False
     bare = "".join(c for c in bare if unicodedata.category(c) not in ("Cf", "Cc", "Zs", "Zl", "Zp")).strip().lower()
     return not bare or bare in PLACEHOLDERS or bare.strip(".!-*_\"' ") in PLACEHOLDERS or not any(c.isalnum() for c in bare)
 
@@ -142,9 +147,9 @@ def unlabelled(answer: str) -> str:
     return "\n".join(LABEL.sub("", line) for line in answer.split("\n"))
 
 
-def added(question: str, answer: str) -> tuple[float, float, int]:
+def added(question: str | list[str], answer: str) -> tuple[float, float, int]:
     """Share of the answer's words that the question has, of the question's that the answer has, and how many words it adds."""
-    q, a = words_of(question), words_of(unlabelled(answer))
+    q, a = words_of(question) if isinstance(question, str) else question, words_of(unlabelled(answer))
     qs, as_ = set(q), set(a)
     if not a or not q:
         return 0.0, 0.0, len(a)
@@ -217,13 +222,29 @@ class Lexicon:
 NOTHING = Lexicon(bytearray(1 << BITS), bytearray(1 << BITS))
 
 
-def features(question: str | None, answer: str | None, lexicon: Lexicon = NOTHING) -> tuple[list[int], list[float]]:
-    q, a = question or "", answer or ""
+@lru_cache(1 << 16)
+def place_of(name: str) -> int:
+    return bucket(name, BITS)
+
+
+class Asked:
+    """What features need of a question, found once for all passages of its answer."""
+
+    def __init__(self, question: str | None, lexicon: Lexicon):
+        q = question or ""
+        self.words = words_of(q)
+        self.tongue = language(self.words, q, lexicon.tongues)
+        self.want = asked_language(q)
+
+
+def features(question: str | Asked | None, answer: str | None, lexicon: Lexicon = NOTHING) -> tuple[list[int], list[float]]:
+    asked = question if isinstance(question, Asked) else Asked(question, lexicon)
+    a = answer or ""
     idx: list[int] = []
     val: list[float] = []
 
     def hashed(name: str, v: float = 1.0) -> None:
-        idx.append(bucket(name, BITS))
+        idx.append(place_of(name))
         val.append(v)
 
     def dense(place: int, v: float) -> None:
@@ -282,15 +303,14 @@ def features(question: str | None, answer: str | None, lexicon: Lexicon = NOTHIN
         hashed("begin " + " ".join(head[:3]))
     dense(15, min(3.0, len(words) / 20))
     dense(16, sentences <= 2)
-    inside, covered, more = added(q, s)
+    inside, covered, more = added(asked.words, s)
     dense(17, inside)
     dense(18, covered)
     dense(19, more == 0 and len(words) > 0)
     dense(20, more <= 2 and inside > 0.6)
     dense(21, min(2.0, more / 10))
     dense(22, inside > 0.8 and covered > 0.6)
-    lq, la = language(words_of(q), q, lexicon.tongues), language(words, s, lexicon.tongues)
-    want = asked_language(q)
+    lq, la, want = asked.tongue, language(words, s, lexicon.tongues), asked.want
     differs = bool(lq[0] and la[0] and lq[0] != la[0]) and not (la[0] in want)
     dense(23, differs)
     dense(24, differs and la[1] >= 0.5 and lq[1] >= 0.3)
@@ -304,7 +324,7 @@ def features(question: str | None, answer: str | None, lexicon: Lexicon = NOTHIN
     return idx, val
 
 
-def packed(question: str | None, answer: str | None, lexicon: Lexicon = NOTHING) -> tuple[np.ndarray, np.ndarray]:
+def packed(question: str | Asked | None, answer: str | None, lexicon: Lexicon = NOTHING) -> tuple[np.ndarray, np.ndarray]:
     i, v = features(question, answer, lexicon)
     return np.array(i, np.int32), np.array(v, np.float32)
 
@@ -366,18 +386,19 @@ class Model:
     deep_limit: float = 0.5
     lexicon: Lexicon = field(default_factory=lambda: NOTHING)
 
-    def score(self, pairs: list[tuple[str | None, str | None]]) -> np.ndarray:
+    def score(self, pairs: list[tuple[str | Asked | None, str | None]]) -> np.ndarray:
         return sigmoid(Rows([features(q, a, self.lexicon) for q, a in pairs]).dot(self.weights))
 
     def defects(self, pairs: list[tuple[str | None, str | None]]) -> list[list[str]]:
         out = []
         declined: set[int] = set()
-        parts = [(i, q, x) for i, (q, a) in enumerate(pairs) if a and self.deep is not None for x, beyond in passages(a) if beyond]
+        known = [Asked(q, self.lexicon) for q, _ in pairs]
+        parts = [(i, known[i], x) for i, (_, a) in enumerate(pairs) if a and self.deep is not None for x, beyond in passages(a) if beyond]
         for k in range(0, len(parts), 4096):
             some = parts[k : k + 4096]
             p = sigmoid(Rows([features(q, x, self.lexicon) for _, q, x in some]).dot(self.deep))[:, 0]
             declined |= {some[j][0] for j in np.flatnonzero(p >= self.deep_limit)}
-        for n, ((q, a), p) in enumerate(zip(pairs, self.score(pairs))):
+        for n, ((q, a), p) in enumerate(zip(pairs, self.score([(k, a) for k, (_, a) in zip(known, pairs)]))):
             if is_empty(a):
                 out.append(["empty"])
                 continue
@@ -462,7 +483,7 @@ def fit(pairs: list[tuple[str | None, str | None]], seed: int = 3) -> Model:
     limits = [float(np.clip(threshold(p[check, j], y[check, j] > 0, PRECISION), *LIMITS)) for j in range(len(DEFECTS))]
     # what lies in the head of a sound answer is sound; beyond it, what this fit is sure of is a refusal
     sound = p[made:, REFUSAL] <= SURE
-    cases = [(q, part, beyond) for (q, a), ok in zip(base, sound) for part, beyond in passages(a) if ok or beyond]
+    cases = [(k, part, beyond) for (k, a), ok in zip(((Asked(q, lexicon), a) for q, a in base), sound) for part, beyond in passages(a) if ok or beyond]
     parts, beyond = [packed(q, part, lexicon) for q, part, _ in cases], np.array([b for *_, b in cases], bool)
     x = Rows(data + parts)
     p = sigmoid(x.dot(w))[len(data) :, REFUSAL]

@@ -81,6 +81,8 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
 def minhash_pairs(docs: DataFrame, key: str, text: str, threshold: float, bands: int = BANDS, permutations: int = PERMUTATIONS) -> DataFrame:
     """(a, b) of documents whose shingle sets have at least this Jaccard similarity, of those that share a band.
 
+    A pair of similarity s shares a band with probability 1 - (1 - s^8)^16: 0.994 at 0.85, 0.9999 at 0.9.
+
     Equal sets are one class, linked by a star, so that copies make no quadratic buckets; each
     candidate is verified on the whole sets.
     """

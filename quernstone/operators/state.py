@@ -79,6 +79,11 @@ def valid_lead() -> Column:
     return F.coalesce(_within("name", MAX_NAME) & email & _within("question", MAX_QUESTION) & _within("phone", MAX_PHONE, 0) & _within("message", MAX_MESSAGE, 0), F.lit(False))
 
 
+def key_ok(given: Column, wanted: str | None) -> Column:
+    """The request's key is the service's; without a key of its own the service takes any."""
+    return F.coalesce(given == wanted, F.lit(False)) if wanted else F.lit(True)
+
+
 def country_allowed(country: Column, denied: list[str]) -> Column:
     """Requests from none of the denied countries; unknown ones pass, and without a list all do."""
     return F.coalesce(~country.isin(denied), F.lit(True)) if denied else F.lit(True)

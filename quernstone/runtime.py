@@ -33,6 +33,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_kept: list[DataFrame] = []
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """Keep ``df`` on local disk for reuse; recomputed from its lineage if an executor is lost."""
-    return df.persist(StorageLevel.DISK_ONLY)
+    """Keep ``df`` on local disk for reuse; recomputed from its lineage if an executor is lost. :func:`release` lets go of it."""
+    _kept.append(df.persist(StorageLevel.DISK_ONLY))
+    return _kept[-1]
+
+
+def release() -> int:
+    """Let go of all that is kept, once the results made from it are written; how many there were."""
+    n = len(_kept)
+    while _kept:
+        try:
+            _kept.pop().unpersist()
+        except Exception:  # its session has ended
+            pass
+    return n

@@ -236,3 +236,18 @@ def test_language_and_cache(spark):
     assert sorted((r.id, r.answer, r.hit) for r in rows.collect()) == [("1", "kept", True), ("2", "new r", False), ("3", "new s", False)]
     assert [r.data for r in gains.collect()] == ["new r"]
     assert [r.x for r in spark.range(1).select(state.country_allowed(F.lit("XX"), ["XX"]).alias("x"), state.country_allowed(F.lit("XX"), []).alias("y")).collect()] == [False]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quernstone.__main__ import main
+    from quernstone.runtime import kept, release
+
+    assert main(["list"]) == 0 and "hybrid_search" in capsys.readouterr().out
+    assert main(["run", "no_such_query", "--data", "x", "--out", "y"]) == 2 and main(["walk"]) == 2
+    out = str(tmp_path / "out")
+    assert main(["run", "status_counts", "--data", "/root/testdata/sf0.001", "--out", out]) == 0 and spark.read.parquet(out).count() == 1
+    assert main(["run", "status_counts", "--data", "/nowhere", "--out", out]) == 1
+    release()
+    kept(spark.range(3)).count()
+    assert release() == 1 and release() == 0
+    assert [tuple(r) for r in spark.range(1).select(state.key_ok(F.lit("a"), "a"), state.key_ok(F.lit(None), "a"), state.key_ok(F.lit("x"), None)).collect()] == [(True, False, True)]

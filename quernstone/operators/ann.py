@@ -13,6 +13,7 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,10 +103,12 @@ class SearchIndex:
             some = good.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("vector").limit(SAMPLE).toPandas()
             mid = centres(np.array(some["vector"].tolist(), np.float64), cells_for(n))
         placed = with_cells(rows, mid) if len(mid) else rows.withColumn("cell", F.lit(None).cast("int"))
-        # by range of cells, so that a scan for some of them skips the other files and row groups
-        placed.repartitionByRange("cell").sortWithinPartitions("cell").write.mode("overwrite").parquet(f"{self.path}/vectors")
-        postings = retrieval.postings(rows, "chunk_id")
-        postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.path}/postings")
+        # by range of cells and of terms, so that a scan for some of them skips the other files and row groups;
+        # what is sorted by range is read twice, so it is kept until it is written
+        for name, df, by in (("vectors", placed, "cell"), ("postings", retrieval.postings(rows, "chunk_id"), "term")):
+            once = df.persist(StorageLevel.DISK_ONLY)
+            once.repartitionByRange(by).sortWithinPartitions(by).write.mode("overwrite").parquet(f"{self.path}/{name}")
+            once.unpersist()
         meta = SearchMeta(provider, dims, n, len(mid))
         one = [(json.dumps(asdict(meta)), mid.tolist())]
         self.spark.createDataFrame(one, "meta string, centres array<array<double>>").write.mode("overwrite").parquet(f"{self.path}/meta")

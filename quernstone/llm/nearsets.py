@@ -201,8 +201,8 @@ def first_of(doc: np.ndarray, most: np.ndarray) -> np.ndarray:
     return place < most[doc]
 
 
-def signatures(sets: list[np.ndarray], threshold: float, tops: np.ndarray, plans: dict[int, Plan], sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of a batch of sets: index of the set, key and mark of each signature, and the indices of sets whose guarantee failed.
+def signatures(sets: list[np.ndarray], threshold: float, tops: np.ndarray, plans: dict[int, Plan], sketch: np.ndarray, ranks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of a batch of sorted sets: index of the set, key and mark of each signature, and the indices of sets whose guarantee failed.
 
     The mark of a token is its place in the total order; that of a segment is -1, less by 1 in the
     set's own band and less by 2 for a deleted token.
@@ -218,7 +218,8 @@ def signatures(sets: list[np.ndarray], threshold: float, tops: np.ndarray, plans
         size = n[which]
         doc = np.repeat(np.arange(len(which)), size)
         toks = np.concatenate([sets[i] for i in which])
-        order = np.lexsort((toks, cost_of(sketch, toks), doc))
+        # by set and cost; a set's tokens are sorted, so of equal cost they stay in the order of their hashes
+        order = np.argsort(doc << 32 | cost_of(ranks, toks), kind="stable")
         order = order[first_of(doc[order], size - least[which] + 1)]
         of = doc[order]
         start = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
@@ -322,6 +323,7 @@ def similar_classes(docs: DataFrame, seen: DataFrame, words: int, threshold: flo
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tops_, plans_, logs_ = sent.value
+        ranks = np.unique(logs_, return_inverse=True)[1].astype(np.int64)
         done: set[int] = set()  # copies within a task's rows are sent once
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
@@ -336,7 +338,7 @@ def similar_classes(docs: DataFrame, seen: DataFrame, words: int, threshold: flo
                 cls, n = np.array(ids, np.int64), np.array([len(s) for s in sets], np.int32)
                 maps = pa.array(bitmaps(sets), pa.binary())
                 with np.errstate(over="ignore"):
-                    for doc, key, flag, failed in signatures(sets, threshold, tops_, plans_, logs_):
+                    for doc, key, flag, failed in signatures(sets, threshold, tops_, plans_, logs_, ranks):
                         at = doc * buckets + ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
                         order = np.argsort(at, kind="stable")
                         at, key, flag = at[order], key[order], flag[order]
@@ -449,7 +451,7 @@ def meetings(threshold: float):
     share = (1 - threshold) / (1 + threshold)
 
     def settle(rows: pa.RecordBatch, first: np.ndarray, last: np.ndarray) -> list[pa.RecordBatch]:
-        ids, n = rows.column(1).to_numpy(), rows.column(2).to_numpy().astype(np.int64)
+        ids, n = rows.column(1).to_numpy(), rows.column(2).to_numpy()
         maps = Maps(rows.column(3))
         keys, start, stop = matrix(rows.column(4))
         marks = matrix(rows.column(5))[0].view(np.int16)
@@ -472,22 +474,22 @@ def meetings(threshold: float):
 
         for f, e in zip(first.tolist(), last.tolist()):
             key = keys[start[f] : stop[e - 1]].view(np.uint64)
-            mark = marks[start[f] // 8 : stop[e - 1] // 8].astype(np.int64)
-            row = np.repeat(np.arange(f, e), (stop[f:e] - start[f:e]) // 8)
+            mark = marks[start[f] // 8 : stop[e - 1] // 8].astype(np.int32)
+            row = np.repeat(np.arange(f, e, dtype=np.int32), (stop[f:e] - start[f:e]) // 8)
             order = np.argsort(key, kind="stable")
             key, mark, row = key[order], mark[order], row[order]
-            begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            size = np.diff(np.append(begin, len(key)))
+            begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])).astype(np.int32)  # a bucket has far fewer signatures than 2^31
+            size = np.diff(np.append(begin, np.int32(len(key))))
             # all pairs of many small groups at once, in portions; a large one in blocks
             some = (size > 1) & (size <= 512)
             begins, sizes = begin[some], size[some]
-            portion = np.cumsum(sizes * (sizes - 1) // 2) // 500_000
+            portion = np.cumsum(sizes.astype(np.int64) * (sizes - 1) // 2) // 500_000
             for p in np.unique(portion):
                 g, z = begins[portion == p], sizes[portion == p]
-                at = np.repeat(g, z) + np.arange(int(z.sum())) - np.repeat(np.cumsum(z) - z, z)
+                at = np.repeat(g - (np.cumsum(z, dtype=np.int32) - z), z) + np.arange(int(z.sum()), dtype=np.int32)
                 later = np.repeat(g + z, z) - at - 1
                 i = np.repeat(at, later)
-                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+                j = np.repeat(at + 1 - (np.cumsum(later, dtype=np.int32) - later), later) + np.arange(len(i), dtype=np.int32)
                 compare(row[i], row[j], mark[i], mark[j])
             for g, z in zip(begin[size > 512].tolist(), size[size > 512].tolist()):
                 for i in range(g, g + z, 512):

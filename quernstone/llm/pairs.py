@@ -72,11 +72,11 @@ REFUSALS = {
         "I'm sorry, but I can't help with {}.", "I cannot answer that.", "Sorry, I am unable to assist with this request.", "I must decline to answer.", "I'd rather not comment on {}.",
         "As an assistant I am not allowed to discuss {}.", "That is not something I can talk about.", "My instructions do not permit me to answer questions about {}.", "This is outside of what I am able to discuss.",
         "I have no opinion on {} and have to leave it there.", "Unfortunately I have nothing on {}, so I will not answer.", "I am not able to provide information about {}.", "I won't be answering this one.", "This request is beyond my scope.",
-        "My guidelines prevent me from answering questions about {}.", "Sorry, no. {} is not a topic I talk about.", "That lies outside of what I may discuss.", "I would rather not say.", "As a language model I cannot comment on {}.", "Nothing in what I was given covers {}, therefore I cannot answer.",
+        "As a language model I cannot comment on {}.",
     ],
-    "de": ["Es tut mir leid, dabei kann ich nicht helfen.", "Diese Frage kann ich leider nicht beantworten.", "Zu {} darf ich keine Auskunft geben.", "Dazu möchte ich mich nicht äußern.", "Das darf ich nicht beantworten.", "Leider kann ich dazu nichts sagen.", "Über {} äußere ich mich nicht.", "Dazu äußere ich mich nicht.", "Ich bin nicht befugt, über {} zu sprechen.", "Bei {} kann ich nicht weiterhelfen.", "Meine Vorgaben verbieten mir Angaben zu {}.", "Das liegt außerhalb dessen, was ich besprechen darf."],
-    "fr": ["Désolé, je ne peux pas répondre à cette question.", "Je ne suis pas autorisé à parler de {}.", "Je préfère ne pas en parler.", "Je ne peux malheureusement pas vous aider.", "Cette question sort de mon domaine.", "Je préfère ne pas répondre.", "Mes consignes m'interdisent de commenter {}.", "Je ne m'exprime pas sur {}.", "Je n'ai pas d'avis sur {} et m'en tiens là.", "Il ne m'est pas permis de répondre.", "Ce sujet dépasse ce que je peux traiter."],
-    "es": ["Lo siento, no puedo ayudar con eso.", "No estoy autorizado a hablar de {}.", "Prefiero no responder a esa pregunta.", "Esa pregunta queda fuera de mi ámbito.", "Lamentablemente no puedo contestar.", "Prefiero no contestar.", "Mis normas me impiden comentar {}.", "Sobre {} no me pronuncio.", "No tengo opinión sobre {} y lo dejo ahí.", "No me está permitido responder.", "Ese tema queda fuera de lo que puedo tratar."],
+    "de": ["Es tut mir leid, dabei kann ich nicht helfen.", "Diese Frage kann ich leider nicht beantworten.", "Zu {} darf ich keine Auskunft geben.", "Dazu möchte ich mich nicht äußern.", "Das darf ich nicht beantworten.", "Leider kann ich dazu nichts sagen.", "Ich bin nicht befugt, über {} zu sprechen.", "Bei {} kann ich nicht weiterhelfen.", "Meine Vorgaben verbieten mir Angaben zu {}."],
+    "fr": ["Désolé, je ne peux pas répondre à cette question.", "Je ne suis pas autorisé à parler de {}.", "Je préfère ne pas en parler.", "Je ne peux malheureusement pas vous aider.", "Cette question sort de mon domaine.", "Mes consignes m'interdisent de commenter {}.", "Il ne m'est pas permis de répondre."],
+    "es": ["Lo siento, no puedo ayudar con eso.", "No estoy autorizado a hablar de {}.", "Prefiero no responder a esa pregunta.", "Esa pregunta queda fuera de mi ámbito.", "Lamentablemente no puedo contestar.", "Mis normas me impiden comentar {}.", "No me está permitido responder."],
 }
 FOLLOWS = {
     "en": ["", "", " Is there anything else I can do for you?", " Please ask about something else.", " Try the documentation instead.", " Please contact the team."],

@@ -121,7 +121,7 @@ class Commit:
 def put_once(spark: SparkSession, path: str, text: str) -> None:
     """A file that readers see whole or not at all, and that one of several writers makes; the others get an error.
 
-    On a local disk by a hard link, which fails if the name is taken; where renaming is atomic by a rename
+    On a local disk by a hard link, which fails if the name is taken (without links by creating it); where renaming is atomic by a rename
     that doesn't overwrite; on object stores by a conditional upload.
     """
     jvm = spark.sparkContext._jvm
@@ -141,7 +141,15 @@ def put_once(spark: SparkSession, path: str, text: str) -> None:
         stream.close()
         if scheme == "file":
             local = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
-            jvm.java.nio.file.Files.createLink(local(fs.makeQualified(final)), local(fs.makeQualified(draft)))
+            try:
+                jvm.java.nio.file.Files.createLink(local(fs.makeQualified(final)), local(fs.makeQualified(draft)))
+            except Exception:
+                if fs.exists(final):
+                    raise
+                # a mounted folder without hard links: the name is still taken once
+                plain = fs.create(final, False)
+                plain.write(bytearray(text.encode()))
+                plain.close()
         elif whole:
             options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
             options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE

@@ -22,8 +22,10 @@ by token against all sets instead, so no pair is lost.
 Signatures travel packed: one row holds all of a set's that fall into one bucket of keys, with the
 set's parity bitmap, whose Hamming distance never exceeds the number of differing tokens. Sets are
 compared by it where they meet, so that chance meetings cost no shuffle. The number of buckets grows
-with that of the signatures; buckets with more than ``BUCKET_ROWS`` rows are split into pairs of blocks that
-spread over tasks. What is left is verified on the whole sets.
+with that of the signatures and of the rows that hold them; buckets with more than ``BUCKET_ROWS`` rows are
+split into pairs of blocks that spread over tasks. With many buckets each signature becomes a row, many times
+the texts in all, so ranges of buckets are met one after another, as many at a time as ``PASS_BYTES`` allows;
+what a range wrote is let go of before the next. What is left is verified on the whole sets.
 
 Sets that are equal are one class and searched once; members are expanded at the very end.
 Defined results: null, empty and blank texts and texts with fewer words than a shingle are in no
@@ -35,6 +37,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +47,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.meet import together
 from quernstone.llm.repeats import mix
-from quernstone.runtime import cut, kept, table
+from quernstone.runtime import cut, kept, kept_now, let_go, release, table
 
 WORDS = 3
 THRESHOLD = 0.7
@@ -54,6 +57,9 @@ COPIES_BLOCK = 1000  # members of a class that are paired in one task
 BITS_PER_TOKEN = 1.15  # of the parity bitmaps, at least
 BUCKET_KEYS = 500_000  # signatures that a bucket holds on average
 BUCKET_ROWS = 400_000  # rows of a bucket that meet in one task
+LEAST_KEYS = 1000  # signatures that a bucket holds on average, at least
+PASS_BYTES = 6.5  # of signatures that lie on disk at a time, for each token of all sets
+PASS_LEAST = 1 << 26  # bytes below which signatures are met in one pass
 MEETING = 0.02  # cost of a comparison, as a share of a signature's
 FILTER_BITS = 1 << 23  # of the filter that keeps texts without candidates from being shuffled, 1 MB
 SLICE = 1 << 20  # characters hashed at once
@@ -179,6 +185,28 @@ def allocate(threshold: float, tops: np.ndarray, counts: dict[int, int], sketch:
     return plans
 
 
+def layout(threshold: float, tops: np.ndarray, plans: dict[int, Plan], sizes: list[tuple[int, int]], partitions: int) -> tuple[int, int]:
+    """Buckets of keys, and passes over them, for (size, number) of sets.
+
+    Buckets are so many that the rows expected in one are half of those that meet in a task.
+    """
+    n, sets = (np.array(c, np.float64) for c in zip(*sizes)) if sizes else (np.ones(1), np.zeros(1))
+    each = np.empty(len(n))
+    for i, size in enumerate(n.tolist()):
+        plan = plans[min(int(np.searchsorted(tops, size)), len(tops) - 1)]
+        h = allowed(threshold, size + size / threshold)
+        each[i] = (1 - threshold) * size + 1 if plan.kind == "token" else 1.75 * (h + 1 if plan.kind == "exact" else size + plan.m)
+    every = float(each @ sets)
+    buckets = max(partitions, math.ceil(every / BUCKET_KEYS))
+    while sets @ -np.expm1(-each / buckets) > BUCKET_ROWS / 2 and buckets * LEAST_KEYS < every:
+        buckets = math.ceil(1.1 * buckets)
+    # a row as it is written, compressed: its bitmap, about 24 bytes, and less than 10 for each signature
+    wide = 8 * 2 ** np.ceil(np.log2(np.maximum(1, BITS_PER_TOKEN * n / 64)))
+    rows = -buckets * np.expm1(-each / buckets)
+    passes = max(1, math.ceil(float((rows * (wide + 24) + 9.5 * each) @ sets) / max(PASS_LEAST, PASS_BYTES * float(n @ sets))))
+    return -(-buckets // passes) * passes, passes
+
+
 def cost_of(sketch: np.ndarray, toks: np.ndarray) -> np.ndarray:
     """Logarithm of the share of sets that have a token of the same bucket."""
     return sketch[(toks >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
@@ -318,10 +346,12 @@ def similar_classes(docs: DataFrame, seen: DataFrame, words: int, threshold: flo
         counts[k] = counts.get(k, 0) + r.sets
     everything = max(1, sum(counts.values()))
     plans = allocate(threshold, tops, counts, sketch)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int((1 - threshold) * sum(r.tokens for r in by)) // BUCKET_KEYS))
+    buckets, passes = layout(threshold, tops, plans, [(r.tokens // r.sets, r.sets) for r in by], int(spark.conf.get("spark.sql.shuffle.partitions")))
+    span = buckets // passes
     sent = spark.sparkContext.broadcast((tops, plans, np.log(np.clip(sketch / everything, 1e-12, 1)).astype(np.float32)))
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emit(batches: Iterator[pa.RecordBatch], only: int) -> Iterator[pa.RecordBatch]:
+        """Signatures of a pass over the buckets; of pass -1, the sets whose guarantee failed."""
         tops_, plans_, logs_ = sent.value
         ranks = np.unique(logs_, return_inverse=True)[1].astype(np.int64)
         done: set[int] = set()  # copies within a task's rows are sent once
@@ -339,25 +369,33 @@ def similar_classes(docs: DataFrame, seen: DataFrame, words: int, threshold: flo
                 maps = pa.array(bitmaps(sets), pa.binary())
                 with np.errstate(over="ignore"):
                     for doc, key, flag, failed in signatures(sets, threshold, tops_, plans_, logs_, ranks):
-                        at = doc * buckets + ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                        if only < 0:
+                            if len(failed):
+                                yield pa.RecordBatch.from_arrays([pa.array(cls[failed])], names=["id"])
+                            continue
+                        bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                        if passes > 1:
+                            now = np.flatnonzero(bucket // span == only)
+                            doc, key, flag, bucket = doc[now], key[now], flag[now], bucket[now] - only * span
+                        at = doc * span + bucket
                         order = np.argsort(at, kind="stable")
                         at, key, flag = at[order], key[order], flag[order]
                         first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
-                        own = at[first] // buckets
-                        yield pa.RecordBatch.from_arrays([pa.array(at[first] % buckets), pa.array(cls[own]), pa.array(n[own]), maps.take(pa.array(own)), binaries(key, first), binaries(flag.astype(np.int16), first)], names=NAMES)
-                        if len(failed):
-                            none = pa.array([b""] * len(failed), pa.binary())
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(failed), -1, np.int64)), pa.array(cls[failed]), pa.array(n[failed]), none, none, none], names=NAMES)
-
-    sigs = docs.mapInArrow(emit, SIGNATURES)
-    lookup = None
+                        own = at[first] // span
+                        yield pa.RecordBatch.from_arrays([pa.array(at[first] % span), pa.array(cls[own]), pa.array(n[own]), maps.take(pa.array(own)), binaries(key, first), binaries(flag.astype(np.int16), first)], names=NAMES)
+
+    parts = []
+    for k in range(passes):
+        held = kept_now()
+        sigs = docs.mapInArrow(partial(emit, only=k), SIGNATURES)
+        parts.append(cut(together(sigs, "id", meetings(threshold), pa.schema([("a", pa.int64()), ("b", pa.int64())]), "a long, b long", BUCKET_ROWS, span).distinct()))
+        del sigs
+        release(held)
+        let_go(spark)
     if any(p.kind == "deletion" for p in plans.values()):
-        sigs = cut(sigs)
-        lookup = token_lookup(docs, sigs.where("key = -1").select("id").distinct(), words, threshold)
-        sigs = sigs.where("key >= 0")
-    pairs = together(sigs, "id", meetings(threshold), pa.schema([("a", pa.int64()), ("b", pa.int64())]), "a long, b long", BUCKET_ROWS, buckets)
-    if lookup is not None:
-        pairs = pairs.unionByName(lookup)
+        hard = docs.mapInArrow(partial(emit, only=-1), "id long")
+        parts.append(token_lookup(docs, hard.distinct(), words, threshold))
+    pairs = reduce(DataFrame.unionByName, parts)
     # rows to classes: copies that different tasks sent are one again
     cls = seen.where("id is not null").select("id", "cls")
     pairs = pairs.distinct().join(cls.select(F.col("id").alias("a"), F.col("cls").alias("x")), "a").join(cls.select(F.col("id").alias("b"), F.col("cls").alias("y")), "b")

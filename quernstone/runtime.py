@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark import StorageLevel
@@ -42,12 +43,22 @@ def kept(df: DataFrame) -> DataFrame:
     return _kept[-1]
 
 
-def release() -> int:
-    """Let go of all that is kept, once the results made from it are written; how many there were."""
-    n = len(_kept)
-    while _kept:
+def kept_now() -> int:
+    return len(_kept)
+
+
+def release(down_to: int = 0) -> int:
+    """Let go of what is kept beyond the first ``down_to``, once the results made from it are written; how many there were."""
+    n = max(0, len(_kept) - down_to)
+    while len(_kept) > down_to:
         try:
             _kept.pop().unpersist()
         except Exception:  # its session has ended
             pass
     return n
+
+
+def let_go(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files that no frame needs any more; it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -76,3 +76,25 @@ def test_long_text(spark):
     long = " ".join(f"t{i}" for i in range(30_000))
     assert pairs(spark, [(1, long), (2, long + " more"), (3, "t1 t2 t3 t4")], 3, 0.7) == {(1, 2)}
     assert F is not None
+
+
+def test_many_buckets(spark, monkeypatch):
+    """Buckets are met range by range, few enough rows a bucket that none is split into blocks, and no pair is lost."""
+    from quernstone.llm import meet
+
+    made, whole = [], nearsets.together
+
+    def together(rows, *args):
+        made.append((args[-1], rows.count(), rows.agg(F.sum(F.length("keys")) / 8).first()[0]))
+        return whole(rows, *args)
+
+    def split(*_):
+        raise AssertionError("a bucket holds more rows than meet in a task")
+
+    for name, value in (("BUCKET_KEYS", 10_000), ("BUCKET_ROWS", 150), ("LEAST_KEYS", 100), ("PASS_BYTES", 10), ("PASS_LEAST", 1)):
+        monkeypatch.setattr(nearsets, name, value, raising=False)
+    monkeypatch.setattr(meet, "in_blocks", split)
+    monkeypatch.setattr(nearsets, "together", together)
+    rows = list(enumerate(corpus(7, 400)))
+    assert pairs(spark, rows, 3, 0.7) == brute(rows, 3, 0.7)
+    assert len(made) > 1 and all(n < 2 * sum(m for _, m, _ in made) / len(made) for _, n, _ in made)

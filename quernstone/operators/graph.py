@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from quernstone.functions import text as T
 from quernstone.functions import url as U
 from quernstone.operators.crawl import SOURCE_RANK, robots_allowed
-from quernstone.runtime import cut, kept
+from quernstone.runtime import cut, kept, narrowed
 
 PERMUTATIONS, BANDS = 128, 16
 
@@ -78,46 +78,62 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     return e.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component")).unionByName(tops)
 
 
+def _grams(text: str | None) -> np.ndarray:
+    """The sorted 64-bit hashes of a text's set of three words in a row."""
+    w = re.findall(r"\w+", (text or "").lower())
+    grams = {" ".join(g) for g in zip(w, w[1:], w[2:])} if len(w) >= 3 else set(w)
+    return np.sort(np.frombuffer(b"".join(hashlib.blake2b(g.encode(), digest_size=8).digest() for g in grams), "<u8"))
+
+
 def minhash_pairs(docs: DataFrame, key: str, text: str, threshold: float, bands: int = BANDS, permutations: int = PERMUTATIONS) -> DataFrame:
     """(a, b) of documents whose shingle sets have at least this Jaccard similarity, of those that share a band.
 
     A pair of similarity s shares a band with probability 1 - (1 - s^8)^16: 0.994 at 0.85, 0.9999 at 0.9.
 
     Equal sets are one class, linked by a star, so that copies make no quadratic buckets; each
-    candidate is verified on the whole sets.
+    candidate is verified on the whole sets. Sets are made again for the candidates alone, so what is kept of
+    every document is its bands; sizes of arrays are guessed too low before they are there, so no join of sets may broadcast.
     """
     kind = docs.schema[key].dataType.simpleString()
     a, b = np.random.default_rng(5).integers(1, 1 << 63, (2, permutations), dtype=np.uint64)
     a |= np.uint64(1)
     per = permutations // bands
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.length("text") > 0)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sets, keys, classes = [], [], [], []
-            for i, text_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                w = re.findall(r"\w+", (text_ or "").lower())
-                grams = {" ".join(w[j : j + 3]) for j in range(len(w) - 2)} if len(w) >= 3 else set(w)
-                if not grams:
+            ids, sizes, keys, classes = [], [], [], []
+            for i, text_ in zip(batch.column(0).to_pylist(), batch.column(1)):
+                h = _grams(text_.as_py())
+                if not len(h):
                     continue
-                h = np.sort(np.array([int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "little") for g in grams], np.uint64))
                 with np.errstate(over="ignore"):
                     sig = np.full(permutations, np.iinfo(np.uint64).max, np.uint64)
                     for k in range(0, len(h), 512):
                         x = h[k : k + 512, None] * a + b
                         sig = np.minimum(sig, (x ^ (x >> np.uint64(29))).min(axis=0))
                 ids.append(i)
-                sets.append(h.view(np.int64))
-                classes.append(hashlib.blake2b(h.tobytes(), digest_size=16).hexdigest())
-                keys.append([hashlib.blake2b(bytes([n]) + sig[n * per : (n + 1) * per].tobytes(), digest_size=12).hexdigest() for n in range(bands)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(sets, pa.list_(pa.int64())), pa.array(classes, pa.string()), pa.array(keys, pa.list_(pa.string()))], names=["id", "s", "h", "bands"])
-
-    sets = kept(docs.select(key, text).where(F.length(text) > 0).mapInArrow(sign, f"id {kind}, s array<long>, h string, bands array<string>"))
-    cls = sets.groupBy("h").agg(F.min("id").alias("rep"))
-    member = kept(sets.select("id", "h").join(cls, "h").select("id", "rep"))
-    reps = kept(sets.join(member.where("id = rep").select("id"), "id", "left_semi"))
-    keys = kept(reps.select("id", F.explode("bands").alias("band")))
-    pairs = keys.alias("x").join(keys.alias("y"), "band").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    both = pairs.join(reps.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(reps.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+                sizes.append(len(h))
+                classes.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
+                keys.append(np.frombuffer(b"".join(hashlib.blake2b(bytes([n]) + sig[n * per : (n + 1) * per].tobytes(), digest_size=8).digest() for n in range(bands)), "<i8"))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(sizes, pa.int32()), pa.array(classes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "h", "bands"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_grams(t.as_py()).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
+
+    signed = kept(texts.mapInArrow(sign, f"id {kind}, n int, h binary, bands array<long>"))
+    signed.count()  # at once, else each of its readers makes the texts' hashes
+    member = signed.select("id", "h").join(signed.groupBy("h").agg(F.min("id").alias("rep")).hint("merge"), "h").select("id", "rep")
+    keys = signed.join(signed.groupBy("h").agg(F.min("id").alias("id")).hint("merge"), ["h", "id"]).select("id", "n", F.explode("bands").alias("band"))
+    x, y = keys.alias("x"), keys.alias("y").hint("merge")
+    # a set that is smaller than the threshold's share of the other can't be as similar
+    close = (F.col("x.id") < F.col("y.id")) & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n"))
+    pairs = cut(x.join(y, "band").where(close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    sets = kept(narrowed(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id").mapInArrow(gather, f"id {kind}, s array<long>"))
+    sets.count()
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")).hint("merge"), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
     inter = F.size(F.array_intersect("sa", "sb"))
     near = both.where(inter / (F.size("sa") + F.size("sb") - inter) >= threshold).select("a", "b")
     return near.unionByName(member.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))

@@ -7,6 +7,7 @@ import tempfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+FEW = 200_000  # keys that are sent to every task, at most
+
+
+def narrowed(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose key is among the distinct ``keys``: without a shuffle of ``df`` while the keys are few, else by a join."""
+    few = keys.limit(FEW + 1).count() <= FEW
+    return df.join(F.broadcast(keys) if few else keys.hint("merge"), key, "left_semi")
+
+
 _kept: list[DataFrame] = []
 
 

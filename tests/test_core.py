@@ -206,3 +206,21 @@ def test_state(spark):
     get = lambda now: [r.data for r in state.cache_get(df.select("question").limit(1), cache, F.lit(now).cast("timestamp")).collect()]
     assert get("2025-01-02 12:00:00") == ["new"] and get("2025-01-04 00:00:00") == [None]
     assert json.dumps(state.TTL) == "86400"
+
+
+def test_sets_of_candidates_alone_are_kept(spark):
+    from quernstone import runtime
+
+    words = [f"w{i}" for i in range(60)]
+    texts = [(1, " ".join(words)), (2, " ".join([*words, "tail"])), *((i, " ".join(f"{w}x{i}" for w in words)) for i in range(3, 30))]
+    before = runtime.kept_now()
+    pairs = graph.minhash_pairs(spark.createDataFrame(texts, "ord int, markdown string"), "ord", "markdown", 0.85)
+    assert {tuple(r) for r in pairs.collect()} == {(1, 2)}
+    assert [f.count() for f in runtime._kept[before:] if "s" in f.columns] == [2]
+    few, many = runtime.narrowed(spark.range(9), spark.range(3), "id"), runtime.FEW
+    try:
+        runtime.FEW = 2
+        other = runtime.narrowed(spark.range(9), spark.range(3), "id")
+    finally:
+        runtime.FEW = many
+    assert sorted(r.id for r in few.collect()) == sorted(r.id for r in other.collect()) == [0, 1, 2]

@@ -13,14 +13,17 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.operators import retrieval
+from quernstone.runtime import kept, let_go, narrowed
 
 MIN_ROWS = 2048  # fewer vectors are searched exactly
 SAMPLE = 100_000  # vectors the centres are fitted on, at most
+SLICE = 2048  # vectors whose distances to all centres are held at once
+FILE = 16_384  # rows of a stored file of vectors, about
 PROBES = 0.15  # share of the cells a query looks into, at least MIN_PROBES
 MIN_PROBES = 8
 
@@ -39,14 +42,17 @@ def centres(x: np.ndarray, cells: int, rounds: int = 8, seed: int = 13) -> np.nd
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(cells, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        far = (c * c).sum(1)[None] - 2 * x @ c.T
-        own = far.argmin(1)
+        own, off = np.empty(len(x), np.int64), np.empty(len(x))
+        for lo in range(0, len(x), SLICE):
+            far = (c * c).sum(1)[None] - 2 * x[lo : lo + SLICE] @ c.T
+            own[lo : lo + SLICE] = far.argmin(1)
+            off[lo : lo + SLICE] = far.min(1)
         n = np.bincount(own, minlength=len(c))
         total = np.stack([np.bincount(own, x[:, d], len(c)) for d in range(x.shape[1])], 1)
         c[n > 0] = total[n > 0] / n[n > 0, None]
         empty = np.flatnonzero(n == 0)
         if len(empty):
-            c[empty] = x[np.argsort(-far[np.arange(len(x)), own], kind="stable")[: len(empty)]]
+            c[empty] = x[np.argsort(-off, kind="stable")[: len(empty)]]
     return c
 
 
@@ -68,14 +74,24 @@ def with_cells(rows: DataFrame, c: np.ndarray, vector: str = "vector") -> DataFr
             x = col.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), mid.shape[1])
             good = np.isfinite(x).all(axis=1)
             own = np.full(batch.num_rows, -1, np.int32)
-            if good.any():
-                own[at[good]] = ((mid * mid).sum(1)[None] - 2 * x[good] @ mid.T).argmin(1)
+            x, at = x[good], at[good]
+            for lo in range(0, len(x), SLICE):
+                own[at[lo : lo + SLICE]] = ((mid * mid).sum(1)[None] - 2 * x[lo : lo + SLICE] @ mid.T).argmin(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, mask=own < 0)], names=[*batch.schema.names, "cell"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(assign, f"{schema}, cell int")
 
 
+class OtherEmbedder(ValueError):
+    """An index was built by another embedder than that of the queries."""
+
+
+def missing(e: Exception) -> bool:
+    """Whether a table was never written, which isn't a failure."""
+    return isinstance(e, AnalysisException) and e.getCondition() == "PATH_NOT_FOUND"
+
+
 @dataclass
 class SearchMeta:
     provider: str
@@ -92,28 +108,39 @@ class SearchIndex:
 
     def build(self, chunks: DataFrame, provider: str = "hash", dims: int = 64, enabled: bool = True, least: int = MIN_ROWS) -> SearchMeta | None:
         """Replaces what the folder holds; an empty table changes nothing."""
-        rows = chunks.select("chunk_id", "url", "title", "page_type", "text", "vector")
-        if rows.isEmpty():
+        # written once as they come: they are read several times, and what made them takes room until then
+        raw = f"{self.path}/incoming"
+        chunks.select("chunk_id", "url", "title", "page_type", "text", "vector").write.mode("overwrite").option("compression", "zstd").parquet(raw)
+        let_go(self.spark)
+        rows = self.spark.read.parquet(raw)
+        every = rows.count()
+        if not every:
+            self._drop(raw)
             return None
         good = rows.where(usable("vector", dims))
         n = good.count()
         mid = np.zeros((0, dims))
         if eligible(n, enabled, least):
             share = min(1.0, SAMPLE / n)
-            some = good.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("vector").limit(SAMPLE).toPandas()
-            mid = centres(np.array(some["vector"].tolist(), np.float64), cells_for(n))
+            some = good.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.col("vector").cast("array<double>").alias("vector")).limit(SAMPLE).toArrow()
+            mid = centres(some.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims), cells_for(n))
         placed = with_cells(rows, mid) if len(mid) else rows.withColumn("cell", F.lit(None).cast("int"))
-        # by range of cells and of terms, so that a scan for some of them skips the other files and row groups;
-        # what is sorted by range is read twice, so it is kept until it is written
-        for name, df, by in (("vectors", placed, "cell"), ("postings", retrieval.postings(rows, "chunk_id"), "term")):
-            once = df.persist(StorageLevel.DISK_ONLY)
-            once.repartitionByRange(by).sortWithinPartitions(by).write.mode("overwrite").parquet(f"{self.path}/{name}")
-            once.unpersist()
+        # by range of cells, so that a scan for some of them skips the other files and row groups; those without a cell are spread
+        files = -(-every // FILE)
+        placed = placed.repartitionById(files, F.coalesce((F.col("cell").cast("long") * files / max(1, len(mid))).cast("int"), F.pmod(F.xxhash64("chunk_id"), F.lit(files)).cast("int")))
+        placed.sortWithinPartitions("cell").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/vectors")
+        self._drop(raw)
+        let_go(self.spark)
+        retrieval.packed(self.rows(), "chunk_id").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/postings")
         meta = SearchMeta(provider, dims, n, len(mid))
         one = [(json.dumps(asdict(meta)), mid.tolist())]
         self.spark.createDataFrame(one, "meta string, centres array<array<double>>").write.mode("overwrite").parquet(f"{self.path}/meta")
         return meta
 
+    def _drop(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
     def _meta(self) -> tuple[SearchMeta, np.ndarray]:
         r = self.spark.read.parquet(f"{self.path}/meta").first()
         meta = SearchMeta(**json.loads(r["meta"]))
@@ -129,7 +156,7 @@ class SearchIndex:
         """Queries must be embedded as the table was."""
         meta = self.meta()
         if (meta.provider, meta.dims) != (provider, dims):
-            raise ValueError(f"the index was built by {meta.provider} with {meta.dims} dimensions")
+            raise OtherEmbedder(f"the index was built by {meta.provider} with {meta.dims} dimensions")
 
     def by_text(self, queries: DataFrame, k: int = 20) -> DataFrame:
         return retrieval.bm25(self.spark.read.parquet(f"{self.path}/postings"), queries, k, "chunk_id")
@@ -147,12 +174,15 @@ class SearchIndex:
         if text:
             try:
                 lists.append(self.by_text(queries, k))
-            except Exception as e:  # the postings may be missing or unreadable
-                print(f"text search failed, by vectors alone: {e}")
+            except AnalysisException as e:
+                if not missing(e):
+                    raise
+                print(f"no text search, by vectors alone: {e}")
         return retrieval.hybrid_of(lists, chunks, k)
 
     def smoke(self, query: DataFrame, k: int = 5) -> DataFrame:
         """(search, chunk_id, url, title, page_type, text, score) of a query in either search, texts cut to 120 characters."""
         rows = self.rows().select("chunk_id", "url", "title", "page_type", F.substring("text", 1, 120).alias("text"))
         parts = [self.by_vector(query, k).select(F.lit("vector").alias("search"), "chunk_id", F.col("distance").alias("score")), self.by_text(query, k).select(F.lit("text").alias("search"), "chunk_id", "score")]
-        return parts[0].unionByName(parts[1]).join(rows, "chunk_id").select("search", "chunk_id", "url", "title", "page_type", "text", "score")
+        hits = kept(parts[0].unionByName(parts[1]))
+        return hits.join(narrowed(rows, hits.select("chunk_id").distinct(), "chunk_id"), "chunk_id").select("search", "chunk_id", "url", "title", "page_type", "text", "score")

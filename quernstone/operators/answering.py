@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import chat as C
 from quernstone.operators import retrieval
-from quernstone.operators.ann import SearchIndex
-from quernstone.runtime import cut
+from quernstone.operators.ann import OtherEmbedder, SearchIndex, missing
+from quernstone.runtime import cut, narrowed
 
 
 def extractive(question: Column, chunks: Column, sentences: int = 3) -> Column:
@@ -56,20 +56,29 @@ class Pipeline:
         asked = self.rewriter(questions.withColumn("prompt", C.rewrite_prompt(q, h)))
         return asked.withColumn("query", C.rewritten(q, h, F.col("rewrite"))).drop("prompt", "rewrite")
 
-    def candidates(self, queries: DataFrame) -> tuple[DataFrame | None, DataFrame]:
-        """What the first table that can be searched gives for (query_id, query), and the embedded queries; null if none can."""
+    def candidates(self, queries: DataFrame) -> tuple[DataFrame | None, DataFrame, SearchIndex | None]:
+        """What the first table that can be searched gives for (query_id, query), the embedded queries and that table; null if none is there for its embedder.
+
+        A search that fails goes on to the next table; if none serves, its error is raised, as no result may come of it.
+        """
+        failed: Exception | None = None
         for index, (provider, dims, embed) in zip(self.indexes, self.embedders):
             try:
                 index.pinned(provider, dims)
                 embedded = embed(queries)
-                return cut(index.hybrid(embedded.select("query_id", "query", "vector"), self.retrieved)), embedded
-            except Exception as e:  # a table that is missing, of another embedder, or unreadable: the next one serves
+                return cut(index.hybrid(embedded.select("query_id", "query", "vector"), self.retrieved)), embedded, index
+            except Exception as e:
                 print(f"{index.path} can't be searched: {e}")
-        return None, queries
+                if not isinstance(e, OtherEmbedder) and not missing(e):
+                    failed = failed or e
+        if failed is not None:
+            raise failed
+        return None, queries, None
 
     def chosen(self, hits: DataFrame, embedded: DataFrame, index: SearchIndex) -> DataFrame:
         """(query_id, pick, chunk columns) after reranking, boosts and diversity."""
-        rows = hits.drop("title", "url", "page_type").join(index.rows().select("chunk_id", "url", "title", "page_type", "text", "vector"), "chunk_id")
+        found = narrowed(index.rows().select("chunk_id", "url", "title", "page_type", "text", "vector"), hits.select("chunk_id").distinct(), "chunk_id")
+        rows = hits.drop("title", "url", "page_type").join(found, "chunk_id")
         if self.scorer is not None:
             scored = self.scorer(rows.join(embedded.select("query_id", "query"), "query_id"))
             best = retrieval.rerank(scored, self.reranked, F.col("relevance"))
@@ -83,12 +92,11 @@ class Pipeline:
     def answers(self, questions: DataFrame) -> DataFrame:
         """(query_id, question, rewritten_query, answer, sources, language, model, chunks_used, is_decline) of (query_id, question, history), one row each."""
         asked = cut(self.rewritten(questions))
-        hits, embedded = self.candidates(asked.select("query_id", "query"))
+        hits, embedded, index = self.candidates(asked.select("query_id", "query"))
         none = F.array().cast("array<struct<pick:int,chunk_id:string,url:string,title:string,page_type:string,text:string>>")
         if hits is None:
             rows = asked.withColumn("chunks", none)
         else:
-            index = next(i for i, (p, d, _) in zip(self.indexes, self.embedders) if _serves(i, p, d))
             picked = self.chosen(hits, embedded, index)
             best = picked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pick", "chunk_id", "url", "title", "page_type", "text"))).alias("chunks"))
             rows = asked.join(best, "query_id", "left").withColumn("chunks", F.coalesce("chunks", none))
@@ -103,14 +111,6 @@ class Pipeline:
         )
 
 
-def _serves(index: SearchIndex, provider: str, dims: int) -> bool:
-    try:
-        index.pinned(provider, dims)
-        return True
-    except Exception:
-        return False
-
-
 def events(results: DataFrame) -> DataFrame:
     """(query_id, seq, event, data): each result as the stream its client gets."""
     stream = C.chat_events(F.col("answer"), F.col("sources"), F.col("is_decline"), F.col("model"), F.col("chunks_used"))

@@ -1,5 +1,6 @@
 """Extraction, fetching, reports, search index and answering on written cases."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,3 +252,57 @@ def test_command_line(spark, tmp_path, capsys):
     kept(spark.range(3)).count()
     assert release() == 1 and release() == 0
     assert [tuple(r) for r in spark.range(1).select(state.key_ok(F.lit("a"), "a"), state.key_ok(F.lit(None), "a"), state.key_ok(F.lit("x"), None)).collect()] == [(True, False, True)]
+
+
+def test_failed_search_is_no_decline(spark, tmp_path):
+    """A table whose search fails mustn't look like one without answers; the next one may serve."""
+    import shutil
+
+    chunks = spark.createDataFrame([(f"c{i}", "https://a.example/", "t", "faq", f"The {w} is old.") for i, w in enumerate(["plough", "harrow"])], "chunk_id string, url string, title string, page_type string, text string")
+    broken, whole = (ann.SearchIndex(spark, str(tmp_path / n)) for n in ("a", "b"))
+    for ix in (broken, whole):
+        ix.build(chunks.withColumn("vector", retrieval.hash_embedding(F.col("text"))))
+    for part in (tmp_path / "a" / "vectors").glob("part-*"):
+        part.write_bytes(b"no parquet")
+    for part in (tmp_path / "a" / "vectors").glob(".part-*"):
+        part.unlink()
+    q = spark.createDataFrame([(1, "plough", [])], "query_id long, question string, history array<struct<role:string,content:string>>")
+    one = ("hash", 64, answering.hashed)
+    with pytest.raises(Exception):
+        answering.Pipeline([broken], [one]).answers(q).collect()
+    assert [r.answer for r in answering.Pipeline([broken, whole], [one, one], final=1).answers(q).collect()] == ["The plough is old."]
+    shutil.rmtree(tmp_path / "b" / "postings")
+    assert [r.is_decline for r in answering.Pipeline([whole], [one]).answers(q).collect()] == [False]
+
+
+def test_packed_postings(spark, monkeypatch):
+    """Blocks and what tasks score together don't change the ranking; ties go to the smaller key."""
+    docs = spark.createDataFrame([(f"d{i:03}", f"red w{i % 7} " + "blue " * (i % 3)) for i in range(200)] + [("e", ""), ("f", None)], "id string, text string").repartition(3)
+    q = spark.createDataFrame([(1, "red blue"), (2, "w3 Red"), (3, "none"), (4, None)], "query_id long, query string")
+    want = [tuple(r) for r in retrieval.bm25_top_k(docs, q, 5, "id").orderBy("query_id", "rank").collect()]
+    assert len(want) == 10 and [w[1] for w in want[:5]] == ["d002", "d005", "d008", "d011", "d014"] and [w[3] for w in want] == [1, 2, 3, 4, 5] * 2
+    monkeypatch.setattr(retrieval, "PACK", 16)
+    monkeypatch.setattr(retrieval, "TOGETHER", 32)
+    stored = retrieval.packed(docs, "id")
+    assert stored.where("term is null").count() >= 13 and stored.count() < docs.count()
+    assert [tuple(r) for r in retrieval.bm25(stored, q, 5, "id").orderBy("query_id", "rank").collect()] == want
+    assert retrieval.bm25(stored, q.limit(0), 5, "id").count() == 0
+
+
+def test_distances_are_held_in_slices(spark, monkeypatch):
+    """Neither centres nor nearest rows depend on how many distances are held at once."""
+    x = np.random.default_rng(3).normal(size=(500, 8)).round(3)
+    rows = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id long, vector array<double>")
+    q = rows.where("id < 40").withColumnRenamed("id", "query_id")
+    search = lambda: [tuple(r) for r in retrieval.vector_top_k(rows, q, 6).orderBy("query_id", "rank").collect()]
+    mid, found = ann.centres(x, 20), search()
+    monkeypatch.setattr(ann, "SLICE", 64)
+    monkeypatch.setattr(retrieval, "CELLS_AT_ONCE", 64)
+    assert np.allclose(ann.centres(x, 20), mid) and search() == found
+    import tracemalloc
+
+    big = np.random.default_rng(4).normal(size=(20_000, 8))
+    tracemalloc.start()
+    ann.centres(big, 500, 1)
+    assert tracemalloc.get_traced_memory()[1] < 40e6  # all distances at once are 80 MB
+    tracemalloc.stop()

@@ -122,8 +122,8 @@ class SearchIndex:
         mid = np.zeros((0, dims))
         if eligible(n, enabled, least):
             share = min(1.0, SAMPLE / n)
-            some = good.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.col("vector").cast("array<double>").alias("vector")).limit(SAMPLE).toArrow()
-            mid = centres(some.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims), cells_for(n))
+            some = good.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("vector").limit(SAMPLE).toArrow()
+            mid = centres(some.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims), cells_for(n))
         placed = with_cells(rows, mid) if len(mid) else rows.withColumn("cell", F.lit(None).cast("int"))
         # by range of cells, so that a scan for some of them skips the other files and row groups; those without a cell are spread
         files = -(-every // FILE)
